@@ -54,7 +54,7 @@ class Policy:
 
 POLICIES = {
     "base-1": Policy("base-1", mask("few_words", "repeated_words")),
-    "strict-2": Policy("strict-2", mask("few_words", "repeated_words", "symbols", "repeated_lines", "few_letters", "shouting", "exclamations"), mask("short_words", "long_words"), 0),
+    "strict-2": Policy("strict-2", mask("few_words", "repeated_words", "symbols", "few_letters", "shouting", "exclamations"), mask("repeated_lines", "short_words", "long_words"), 1),
 }
 DEFAULT_POLICY = "strict-2"
 

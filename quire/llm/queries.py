@@ -51,6 +51,6 @@ m as (select doc_id, cast(len(w) as bigint) as n_words, cast(length(regexp_repla
 f as (select *, (n_words < 50)::int + 2 * (100 * n_repeat_words > 50 * n_words)::int + 4 * (n_words > 0 and 10 * n_symbols > n_words)::int
         + 8 * (10 * n_dup_lines > 3 * n_lines)::int + 16 * (n_words > 0 and word_chars < 2 * n_words)::int + 32 * (word_chars > 20 * n_words)::int
         + 64 * (10 * n_letter_words < 6 * n_words)::int + 128 * (2 * n_caps_words > n_words and n_words > 0)::int + 256 * (n_words > 0 and 5 * n_exclaim > n_words)::int as bits from m)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bits & 3) <> 0 as base_failed, bits = 0 as kept,
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bits & 3) <> 0 as base_failed, (bits & 455) = 0 and bit_count(bits & 56) <= 1 as kept,
   cast(bits as bigint) as failed_bits, 'strict-2' as policy from f""",
 }
