@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality
+from . import langid, mixing, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,9 +29,34 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_language": op2_language, "op6_quality": op6_quality}
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    rows = mixed.select("doc_id", "size", "source_size", "target", "taken", "position")
+    return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_language": op2_language, "op4_mixing": op4_mixing, "op6_quality": op6_quality}
 
 SQL: dict[str, str] = {
+    "op4_mixing": r"""
+with d as (select doc_id, source, md5('mix-1:' || coalesce(cast(doc_id as varchar), '')) as k,
+        cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size from documents),
+t as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+r as (select *, row_number() over (order by source nulls last) - 1 as rank from t),
+w as (select *, 1.0::double + rank % 3 as w, 3 * source_size as cap from r),
+l as (select *, sum(source_size) over () - coalesce(sum(cap) over (order by cap / w, rank rows between unbounded preceding and 1 preceding), 0) as rest,
+        sum(w) over () - coalesce(sum(w) over (order by cap / w, rank rows between unbounded preceding and 1 preceding), 0) as w_rest from w),
+f as (select *, rest * w >= cap * w_rest as fully, rest / w_rest as level from l),
+g as (select source, source_size, rank, cast(case when fully then cap else (select arg_max(level, w_rest) from f where not fully) * w end as double) as target from f),
+s as (select d.doc_id, d.size, g.source_size, g.rank, g.target, cast(floor(g.target) as bigint) as want,
+        coalesce(sum(d.size) over (partition by d.source order by d.k, d.size rows between unbounded preceding and 1 preceding), 0) as a
+      from d join g on d.source is not distinct from g.source),
+c as (select *, list_transform([0, 1, 2], lambda x: greatest(0, least(size, want - x * source_size - a))) as got from s),
+p as (select *, list_position(list_transform(got, lambda x: x > 0), true) - 1 as first from c),
+q as (select *, (first * source_size + a) / cast(greatest(want, 1) as double) as share from p)
+select doc_id, size, source_size, target, cast(list_sum(got) as bigint) as taken,
+  case when first is null or first < 0 then null when rank % 2 = 0 then least(1.0, case when share < 1 then 0.0 + (sqrt(greatest(0.0, 0.25 + 2.0 * share)) - 0.5) / 1.0 else 1.0 end)
+       else least(1.0, case when share < 1 then 0.0 + (sqrt(greatest(0.0, 2.25 + -2.0 * share)) - 1.5) / -1.0 else 1.0 end) end as position from q""",
     "op6_quality": r"""
 with docs as (select doc_id, coalesce(text, '') as text from documents),
 lists as (select doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, string_split(text, chr(10)) as l from docs),
