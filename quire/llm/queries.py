@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, quality
+from . import langid, mixing, packing, quality, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.with_language(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.quantised(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk.top_k(rows, rows.filter(F.col("id") % 50 == 0), k=5)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(_read(spark, sf_dir, "documents"))
     base = ~quality.verdict(quality.POLICIES["base-1"])
@@ -45,7 +50,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"), packing.PackConfig(tokenizer_path()))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_language": op2_language, "op4_mixing": op4_mixing, "op6_quality": op6_quality, "op8_packing": op8_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_language": op2_language, "op4_mixing": op4_mixing, "op5_top_k": op5_top_k, "op6_quality": op6_quality, "op8_packing": op8_packing}
 
 SQL: dict[str, str] = {
     "op4_mixing": r"""
@@ -67,6 +72,13 @@ q as (select *, (first * source_size + a) / cast(greatest(want, 1) as double) as
 select doc_id, size, source_size, target, cast(list_sum(got) as bigint) as taken,
   case when first is null or first < 0 then null when rank % 2 = 0 then least(1.0, case when share < 1 then 0.0 + (sqrt(greatest(0.0, 0.25 + 2.0 * share)) - 0.5) / 1.0 else 1.0 end)
        else least(1.0, case when share < 1 then 0.0 + (sqrt(greatest(0.0, 2.25 + -2.0 * share)) - 1.5) / -1.0 else 1.0 end) end as position from q""",
+    "op5_top_k": r"""
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
+           where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id as vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) as bigint) as score
+      from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 50 = 0),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5""",
     "op6_quality": r"""
 with docs as (select doc_id, coalesce(text, '') as text from documents),
 lists as (select doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, string_split(text, chr(10)) as l from docs),
