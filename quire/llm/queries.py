@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, quality, topk
+from . import langid, mixing, packing, quality, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,7 +50,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"), packing.PackConfig(tokenizer_path()))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_language": op2_language, "op4_mixing": op4_mixing, "op5_top_k": op5_top_k, "op6_quality": op6_quality, "op8_packing": op8_packing}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = warc.archive_and_read(spark, _read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_language": op2_language, "op4_mixing": op4_mixing, "op5_top_k": op5_top_k, "op6_quality": op6_quality, "op8_packing": op8_packing, "op10_warc": op10_warc}
 
 SQL: dict[str, str] = {
     "op4_mixing": r"""
@@ -100,4 +105,9 @@ f as (select *, (n_words < 50)::int + 2 * (100 * n_repeat_words > 50 * n_words):
         + 64 * (10 * n_letter_words < 6 * n_words)::int + 128 * (2 * n_caps_words > n_words and n_words > 0)::int + 256 * (n_words > 0 and 5 * n_exclaim > n_words)::int as bits from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bits & 3) <> 0 as base_failed, (bits & 455) = 0 and bit_count(bits & 56) <= 1 as kept,
   cast(bits as bigint) as failed_bits, 'strict-2' as policy from f""",
+    "op10_warc": """
+with p as (select page_id, sha256(coalesce(html, '')) as payload_digest, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes from pages),
+f as (select *, min(page_id) over (partition by payload_digest) as first from p)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and page_id <> first then first end as refers_to from f""",
 }
