@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, quality, topk, warc
+from . import htmltext, langid, mixing, packing, quality, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_read(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text")
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -55,7 +59,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_language": op2_language, "op4_mixing": op4_mixing, "op5_top_k": op5_top_k, "op6_quality": op6_quality, "op8_packing": op8_packing, "op10_warc": op10_warc}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_language": op2_language, "op4_mixing": op4_mixing, "op5_top_k": op5_top_k, "op6_quality": op6_quality, "op7_html": op7_html, "op8_packing": op8_packing, "op10_warc": op10_warc}
 
 SQL: dict[str, str] = {
     "op4_mixing": r"""
