@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, mixing, packing, quality, topk, warc
+from . import htmltext, langid, mixing, packing, pii, quality, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replaced(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_entities")
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs.filter(~langid.held_out()), "text", "lang", F.col("doc_id"))
@@ -59,7 +63,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_language": op2_language, "op4_mixing": op4_mixing, "op5_top_k": op5_top_k, "op6_quality": op6_quality, "op7_html": op7_html, "op8_packing": op8_packing, "op10_warc": op10_warc}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op2_language": op2_language, "op4_mixing": op4_mixing, "op5_top_k": op5_top_k, "op6_quality": op6_quality, "op7_html": op7_html, "op8_packing": op8_packing, "op10_warc": op10_warc}
 
 SQL: dict[str, str] = {
     "op4_mixing": r"""
