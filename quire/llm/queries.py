@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, mixing, packing, pii, quality, topk, warc
+from . import htmltext, langid, mixing, packing, pii, quality, repeats, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,12 +58,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"), packing.PackConfig(tokenizer_path()))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = warc.archive_and_read(spark, _read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op2_language": op2_language, "op4_mixing": op4_mixing, "op5_top_k": op5_top_k, "op6_quality": op6_quality, "op7_html": op7_html, "op8_packing": op8_packing, "op10_warc": op10_warc}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op2_language": op2_language, "op4_mixing": op4_mixing, "op5_top_k": op5_top_k, "op6_quality": op6_quality, "op7_html": op7_html, "op8_packing": op8_packing, "op9_repeats": op9_repeats, "op10_warc": op10_warc}
 
 SQL: dict[str, str] = {
     "op4_mixing": r"""
