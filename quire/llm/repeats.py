@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_KEYS, POWERS, cut, mix64, slices, stored, text_bytes
+from .common import BYTE_KEYS, POWERS, PRIME, cut, mix64, slices, stored, text_bytes
 
 _CHUNK = 2 << 20
 _LOW = np.uint64((1 << 22) - 1)
@@ -245,14 +245,16 @@ def _hot_windows(classes: DataFrame, cfg: RepeatConfig) -> DataFrame:
     def run(batches):
         for b in batches:
             out: list[list] = [[] for _ in range(5)]
-            for c1, c2, ctx, left, n in zip(*(b.column(c).to_pylist() for c in ("c1", "c2", "ctx", "left", "n"))):
+            for name, c1, c2, ctx, left, n in zip(*(b.column(c).to_pylist() for c in ("h", "c1", "c2", "ctx", "left", "n"))):
                 h = window_hashes(np.frombuffer(ctx, np.uint8), cfg.length)
+                with np.errstate(over="ignore"):  # a window is named with its anchor and the anchor's place, so that one place counts once
+                    h = mix64(h + np.uint64(name % 2**64) * PRIME + (left - np.arange(len(h))).astype(np.int64).view(np.uint64))
                 for col, v in zip(out, (h.view(np.int64), np.full(len(h), c1), np.full(len(h), c2), (np.arange(len(h)) - left).astype(np.int32), np.full(len(h), n))):
                     col.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["w", "c1", "c2", "lo", "n"])
 
-    rows = classes.select("c1", "c2", "ctx", "left", "n").mapInArrow(run, "w long, c1 long, c2 long, lo int, n long")
+    rows = classes.select("h", "c1", "c2", "ctx", "left", "n").mapInArrow(run, "w long, c1 long, c2 long, lo int, n long")
     twice = cut(rows.groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1").select("w"))
     hit = rows.select("w", "c1", "c2", "lo").join(twice, "w").groupBy("c1", "c2").agg(F.array_sort(F.collect_list("lo")).alias("at"))  # at most `span` of one class
     # runs of windows with no gap of `length` between them
