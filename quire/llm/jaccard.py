@@ -97,16 +97,16 @@ def _batches(rows, kinds: list, names: list[str], most: int = 50_000, size=None,
 
 
 def set_keys(docs: DataFrame, cfg: JoinConfig) -> DataFrame:
-    """doc_id, n, c1, c2 of every row: size and key of its set."""
+    """doc_id, h, n, c1, c2 of every row: hash of the text, size and key of its set."""
     id_type = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
         for b in batches:
             keys = [(len(s), *set_key(s)) for _, _, s in _each([b], cfg.words)]
             cols = list(zip(*keys)) if keys else [()] * 3
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols]], names=["doc_id", "n", "c1", "c2"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), *[pa.array(c, pa.int64()) for c in cols]], names=["doc_id", "h", "n", "c1", "c2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n long, c1 long, c2 long")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"doc_id {id_type}, h long, n long, c1 long, c2 long")
 
 
 def token_counts(docs: DataFrame, cfg: JoinConfig) -> np.ndarray:
@@ -280,7 +280,7 @@ def links(docs: DataFrame, holders: DataFrame, cfg: JoinConfig) -> DataFrame:
 
 
 def join_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", cfg: JoinConfig = JoinConfig()) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), text_hash."""
     docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     keys = cut(set_keys(docs, cfg))
     classes = keys.filter("n > 0").groupBy("c1").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("m"))
@@ -294,4 +294,18 @@ def join_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", c
     least = classes.join(comp, classes["c"] == comp["node"], "left").select("c", F.coalesce("root", "c").alias("root"), "doc_id", "m")
     roots = cut(least.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("m").alias("members")).filter("members > 1"))
     named = cut(least.join(roots, "root").select(F.col("c").alias("c1"), "component_id"))
-    return keys.join(named, "c1", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return keys.join(named, "c1", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("h").alias("text_hash"))
+
+
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", cfg: JoinConfig = JoinConfig()) -> DataFrame:
+    """`df` with the smallest doc_id of each component alone, once; texts without words stay, once for each doc_id."""
+    found = cut(join_components(df, doc_id, text, cfg))
+    lost = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    again = cut(found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")))
+    lost = cut(lost)
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))) == F.col("__hash"))
+    kept = df.join(F.broadcast(lost) if lost.count() <= cfg.broadcast_rows else lost, same, "left_anti")
+    if again.isEmpty():
+        return kept
+    side = F.broadcast(again) if again.count() <= cfg.broadcast_rows else again
+    return kept.join(side, same, "left_anti").unionByName(kept.join(side, same, "left_semi").dropDuplicates([doc_id, text]))

@@ -39,7 +39,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join_components(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard.join_components(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
