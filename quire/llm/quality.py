@@ -22,7 +22,7 @@ from .common import SPACE, grams, slices, text_bytes, word_hashes, words
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
 
 #: Bit of each rule; bits are never reused, so that stored ledgers stay readable.
 RULES: dict[str, tuple[int, str]] = {
@@ -156,8 +156,8 @@ def ablations(rows: DataFrame, policy: Policy) -> DataFrame:
     seen = rows.groupBy("failed").agg(F.count("*").alias("n"))
     rules = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(1 << b).cast("long").alias("bit")) for k, (b, _) in RULES.items()]))
     each = seen.select("failed", "n", rules.alias("r")).select("failed", "n", "r.rule", "r.bit")
-    rest = each.withColumn("failed", F.col("failed").bitwiseAND(F.bitwise_not(F.col("bit")))).withColumn("hit", each["failed"].bitwiseAND(F.col("bit")) != 0)
+    rest = each.select("rule", "n", F.col("failed").alias("whole"), (F.col("failed").bitwiseAND(F.col("bit")) != 0).alias("hit"), F.col("failed").bitwiseAND(F.bitwise_not(F.col("bit"))).alias("failed"))
     n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
-    return rest.withColumn("whole", F.when(F.col("hit"), F.col("failed").bitwiseOR(F.col("bit"))).otherwise(F.col("failed"))).groupBy("rule").agg(
+    return rest.groupBy("rule").agg(
         n(F.col("hit")).alias("n_failed"), n(F.col("hit") & (F.col("failed") == 0)).alias("n_failed_alone"), n(verdict(policy, "whole")).alias("n_kept"), n(verdict(policy)).alias("n_kept_without")
     )
