@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-_HEAD = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
-_MOST_CACHED = 1_000_000
+#: For texts of plain Latin-1 letters, ASCII and blanks alone, these are the tokenizer's own pre-tokens of the lower-cased text.
+_PRETOKEN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+_OTHER = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]|<\|")
+_MOST_CACHED = 250_000
 _BATCH_TEXT = 4 << 20
 
 
@@ -48,51 +50,55 @@ class PackConfig:
 
 
 class Encoder:
-    """Ids of whole texts. White space ends every pre-token of these tokenizers, so texts are encoded word by word and the ids of words are kept."""
+    """Ids of whole texts. A text is cut where the tokenizer cuts it anyway, at its pre-tokens or, if it holds characters beyond
+    the plain ones, at blanks, which end every pre-token. The ids of pieces are kept from batch to batch, in a store of bounded size."""
 
     def __init__(self, path: str, end_id: int):
         os.environ["RAYON_NUM_THREADS"], os.environ["TOKENIZERS_PARALLELISM"] = "1", "false"
         from tokenizers import Tokenizer
 
         self.tok, self.end = Tokenizer.from_file(path), np.uint32(end_id).tobytes()
-        self.words: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {}
-
-    def _fill(self, missing: set[str]) -> None:
-        """Splits a missing word into letters and closing ASCII punctuation, which are pre-tokens of their own, and encodes new parts at once."""
-        if len(self.words) + len(missing) > _MOST_CACHED:
-            self.words = {"": b""}
-        plan, new = [], set()
-        for w in missing:
-            m = _HEAD.fullmatch(w)
-            if m and m[1].isalpha() and "İ" not in w and "Σ" not in w:
-                parts = (m[1].lower(), m[2]) if m[2] else (m[1].lower(),)
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: set[str]) -> None:
+        """Letters alone are one pre-token, whose last id closes a word: many are encoded as one text and cut at those ids."""
+        letters = [p for p in new if p.isalpha()]
+        for i in range(0, len(letters), 512):
+            some = letters[i : i + 512]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(some) and last[-1] == len(ids):
+                data, begin = ids.tobytes(), 0
+                for p, z in zip(some, (last * 4).tolist()):
+                    self.parts[p] = data[begin:z]
+                    begin = z
             else:
-                parts = (w,)
-            plan.append((w, parts))
-            new.update(p for p in parts if p not in self.parts)
-        if len(self.parts) + len(new) > _MOST_CACHED:
-            self.parts = {}
-            new = {p for _, parts in plan for p in parts}
-        todo = list(new)
-        for i in range(0, len(todo), 4096):
-            for p, e in zip(todo[i : i + 4096], self.tok.encode_batch_fast(todo[i : i + 4096], add_special_tokens=False)):
-                self.parts[p] = np.array(e.ids, "<u4").tobytes()
-        for w, parts in plan:
-            self.words[w] = b"".join([self.parts[p] for p in parts])
+                self.parts.update(zip(some, self._encoded(some)))
+        rest = [p for p in new if not p.isalpha()]
+        for i in range(0, len(rest), 4096):
+            self.parts.update(zip(rest[i : i + 4096], self._encoded(rest[i : i + 4096])))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text and the closing id."""
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") if t else [] for t in texts]
-        words = set()
+        split = [_PRETOKEN.findall(t.lower()) if not _OTHER.search(t) else t.replace("\n", " ").replace("\t", " ").split(" ") for t in (t or "" for t in texts)]
+        pieces = set()
         for s in split:
-            words.update(s)
-        if missing := words.difference(self.words):
-            self._fill(missing)
-            if not words.issubset(self.words.keys()):  # the store was emptied meanwhile
-                self._fill(words.difference(self.words))
-        got = self.words
-        return [b"".join([got[w] for w in s]) + self.end for s in split]
+            pieces.update(s)
+        known = self.parts
+        if missing := pieces.difference(known):
+            if len(known) + len(missing) > _MOST_CACHED:
+                self.parts, old = {}, known
+                self.parts.update((p, old[p]) for p in pieces if p in old)
+            self._learn(missing)
+            known = self.parts
+        get = known.__getitem__
+        return [b"".join(map(get, s)) + self.end for s in split]
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
