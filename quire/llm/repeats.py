@@ -158,30 +158,44 @@ def _found(texts: DataFrame, cfg: RepeatConfig) -> DataFrame:
     return texts.select("text", "t1", "t2").mapInArrow(run, "h long, t1 long, t2 int, pos int")
 
 
+_CONTEXT = "h long, left int, size int, c1 long, c2 long, t1 long, t2 int, pos int, ctx binary"
+
+
 def _contexts(rows: DataFrame, cfg: RepeatConfig) -> DataFrame:
-    """h, left, ctx, t1, t2, pos from texts with their repeated anchors."""
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
+    """h, left, size, c1, c2 (name of the context), t1, t2, pos, ctx of every repeated anchor; a task sends the bytes of a context once."""
+    names = [x.split()[0] for x in _CONTEXT.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches):
+        seen: set = set()
         for b in batches:
             raw, offs = text_bytes(b.column("text"))
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in names]
             size = 0
             for r, (t1, t2, at) in enumerate(zip(b.column("t1").to_pylist(), b.column("t2").to_pylist(), b.column("at").to_pylist())):
                 body = raw[offs[r] : offs[r + 1]].tobytes()
                 for a in at:
-                    p = a["pos"]
+                    h, p = a["h"], a["pos"]
                     left = min(cfg.span - 1, p)
                     ctx = body[p - left : p + cfg.length]
-                    size += len(ctx)
-                    for col, v in zip(out, (a["h"], left, ctx, t1, t2, p)):
+                    name = xxhash.xxh3_128_intdigest(ctx, (h ^ left) % 2**64)
+                    c1, c2 = (name >> 64) - 2**63, name % 2**64 - 2**63
+                    sent = ctx
+                    if name in seen:
+                        sent = None
+                    else:
+                        seen.add(name)
+                        size += len(ctx)
+                        if len(seen) > 500_000:
+                            seen.clear()
+                    for col, v in zip(out, (h, left, len(ctx), c1, c2, t1, t2, p, sent)):
                         col.append(v)
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["h", "left", "ctx", "t1", "t2", "pos"])
-                    out, size = [[] for _ in range(6)], 0
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["h", "left", "ctx", "t1", "t2", "pos"])
+                if size > 4 << 20 or len(out[0]) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
+                    out, size = [[] for _ in names], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
-    return rows.select("text", "t1", "t2", "at").mapInArrow(run, "h long, left int, ctx binary, t1 long, t2 int, pos int")
+    return rows.select("text", "t1", "t2", "at").mapInArrow(run, _CONTEXT)
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -200,9 +214,9 @@ def _arrays(classes: DataFrame, cfg: RepeatConfig, groups: bool) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()] + [pa.int64()] * groups
 
     def group(held: list, out: list[list]) -> None:
+        held = list({x[1:3]: x for x in held}.values())  # a context may come from several tasks
         contexts = [(x[3], x[4]) for x in held]
         found = repeat_groups(contexts, cfg) if len(held) > 1 else []
-        found += [(x[4], len(x[3]) - x[4], [i]) for i, x in enumerate(held) if x[5] > 1]
         if groups:
             for left, right, members in found:
                 c, n = contexts[members[0]]
@@ -224,7 +238,7 @@ def _arrays(classes: DataFrame, cfg: RepeatConfig, groups: bool) -> DataFrame:
         held: list = []
         for b in batches:
             out: list[list] = [[] for _ in names]
-            for row in zip(*(b.column(c).to_pylist() for c in ("h", "c1", "c2", "ctx", "left", "n"))):
+            for row in zip(*(b.column(c).to_pylist() for c in ("h", "c1", "c2", "ctx", "left"))):
                 if held and held[0][0] != row[0]:
                     group(held, out)
                     held = []
@@ -235,7 +249,7 @@ def _arrays(classes: DataFrame, cfg: RepeatConfig, groups: bool) -> DataFrame:
             group(held, out)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
-    rows = classes.repartition("h").sortWithinPartitions("h").select("h", "c1", "c2", "ctx", "left", "n")
+    rows = classes.repartition("h").sortWithinPartitions("h").select("h", "c1", "c2", "ctx", "left")
     return rows.mapInArrow(run, "c1 long, c2 long, lo int, hi int" + ", repeat long" * groups)
 
 
@@ -262,12 +276,17 @@ def _hot_windows(classes: DataFrame, cfg: RepeatConfig) -> DataFrame:
     return hit.select("c1", "c2", F.explode(run_).alias("s")).select("c1", "c2", "s.lo", "s.hi")
 
 
-def _stages(df: DataFrame, text: str, cfg: RepeatConfig):
+def _stages(df: DataFrame, text: str, cfg: RepeatConfig, doc_id: str):
     """Row keys, texts that occur more than once, the texts to search, and their contexts."""
     rows = _texts(df, text)
-    keys = rows.select("t1", "t2", "n_bytes")
-    dups = cut(keys.filter(F.col("n_bytes") >= cfg.length).groupBy("t1", "t2").agg(F.count("*").alias("m"), F.first("n_bytes").alias("n_bytes")).filter("m > 1"))
-    texts = rows.filter(F.col("n_bytes") >= cfg.length).select("text", "t1", "t2")
+    long_ = rows.filter(F.col("n_bytes") >= cfg.length).withColumn("__id", F.col(doc_id))
+    dups = cut(long_.groupBy("t1", "t2", "n_bytes").agg(F.count("*").alias("m"), F.min("__id").alias("first")).filter("m > 1"))
+    texts = long_.select("text", "t1", "t2", "__id")
+    if dups.count() <= cfg.broadcast_rows:
+        # all of a copied text is repeated; it is searched once, for what other texts share with it
+        held = F.broadcast(dups.select(F.col("t1").alias("d1"), F.col("t2").alias("d2"), "first"))
+        texts = texts.join(held, (F.col("t1") == F.col("d1")) & (F.col("t2") == F.col("d2")), "left").filter(F.col("d1").isNull() | F.col("first").isNull() | (F.col("__id") == F.col("first")))
+    texts = texts.select("text", "t1", "t2")
     found = _found(texts, cfg)
     again = cut(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
     live = found.join(again, "h").groupBy("t1", "t2").agg(F.collect_set(F.struct("pos", "h")).alias("at"))  # bounded by the text
@@ -279,29 +298,32 @@ def _stages(df: DataFrame, text: str, cfg: RepeatConfig):
     return rows, dups, use, live
 
 
-def class_spans(df: DataFrame, text: str = "text", cfg: RepeatConfig = RepeatConfig(), groups: bool = False):
+def class_spans(df: DataFrame, text: str = "text", cfg: RepeatConfig = RepeatConfig(), groups: bool = False, doc_id: str = "doc_id"):
     """(rows with text keys, texts that occur more than once, spans by distinct text: t1, t2, begin, end)."""
-    rows, dups, use, live = _stages(df, text, cfg)
+    rows, dups, use, live = _stages(df, text, cfg, doc_id)
     contexts = stored(_contexts(use.join(live, ["t1", "t2"]), cfg), "contexts")
-    named = contexts.withColumns({"c1": F.xxhash64("h", "left", "ctx"), "c2": F.xxhash64("ctx", "left", F.lit(7))})
     # a text that is read twice gives every class twice, which is what two places are
-    classes = contexts.groupBy("h", "left", "ctx").agg(F.count("*").alias("n")).withColumns({"c1": F.xxhash64("h", "left", "ctx"), "c2": F.xxhash64("ctx", "left", F.lit(7))})
-    classes = stored(classes, "classes")
-    crowd = cut(classes.groupBy("h").agg(F.count("*").alias("classes"), F.max("n").alias("most")).filter("classes > 1 or most > 1"))
+    classes = cut(contexts.groupBy("h", "c1", "c2", "left", "size").agg(F.count("*").alias("n")))
+    crowd = cut(classes.groupBy("h").agg(F.count("*").alias("classes")).filter("classes > 1"))
     hot = crowd.filter(F.col("classes") > cfg.hot).select("h")
     n_hot = hot.count()
-    alone = classes.filter("n > 1").join(crowd.filter("classes = 1").select("h"), "h").select("c1", "c2", (-F.col("left")).alias("lo"), (F.length("ctx") - F.col("left")).alias("hi"))
-    some = crowd.filter((F.col("classes") > 1) & (F.col("classes") <= cfg.hot)).select("h")
+    bodies = contexts.filter("ctx is not null").select("h", "c1", "c2", "ctx", "left")
+    some = bodies
+    if n_hot:
+        some = some.join(F.broadcast(hot) if n_hot <= cfg.broadcast_rows else hot, "h", "left_anti")
+    if crowd.count() <= cfg.broadcast_rows:  # anchors with one class need no array
+        some = some.join(F.broadcast(crowd.select("h")), "h", "left_semi")
+    spans = _arrays(some, cfg, groups)
+    whole = classes.filter("n > 1").select("c1", "c2", (-F.col("left")).alias("lo"), (F.col("size") - F.col("left")).alias("hi"))
     if groups:
-        some = crowd.filter(F.col("classes") <= cfg.hot).select("h")
-    spans = _arrays(classes.join(some, "h"), cfg, groups)
-    if not groups:
-        spans = spans.unionByName(alone)
+        whole = whole.withColumn("repeat", F.xxhash64("c1", "c2"))
+    spans = spans.unionByName(whole)
     if n_hot:
-        heated = _hot_windows(classes.join(F.broadcast(hot) if n_hot <= cfg.broadcast_rows else hot, "h"), cfg)
+        heated = bodies.join(F.broadcast(hot) if n_hot <= cfg.broadcast_rows else hot, "h", "left_semi").groupBy("h", "c1", "c2", "left").agg(F.min("ctx").alias("ctx"))
+        heated = _hot_windows(heated.join(classes.select("c1", "c2", "n"), ["c1", "c2"]), cfg)
         spans = spans.unionByName(heated.withColumn("repeat", F.lit(None).cast("long")) if groups else heated)
     spans = cut(spans)
-    placed = named.select("c1", "c2", "t1", "t2", "pos").join(spans, ["c1", "c2"])
+    placed = contexts.select("c1", "c2", "t1", "t2", "pos").join(spans, ["c1", "c2"])
     placed = placed.select("t1", F.col("t2").cast("long").alias("t2"), (F.col("pos") + F.col("lo")).alias("begin"), (F.col("pos") + F.col("hi")).alias("end"), *(["repeat"] if groups else []))
     return rows, dups, placed
 
@@ -309,14 +331,15 @@ def class_spans(df: DataFrame, text: str = "text", cfg: RepeatConfig = RepeatCon
 def maximal_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", cfg: RepeatConfig = RepeatConfig()) -> DataFrame:
     """repeat, length, doc_id, begin: all occurrences of every maximal repeat, as far as an anchor's context shows it. Windows of
     hot anchors are reported without a repeat's name."""
-    rows, _, placed = class_spans(df, text, cfg, groups=True)
+    rows, dups, placed = class_spans(df, text, cfg, groups=True, doc_id=doc_id)
     places = placed.select("repeat", (F.col("end") - F.col("begin")).alias("length"), "t1", "t2", "begin").distinct()
+    places = places.unionByName(dups.select(F.col("t1").alias("repeat"), F.col("n_bytes").cast("int").alias("length"), "t1", "t2", F.lit(0).alias("begin")))  # copied texts, as wholes
     return rows.select(F.col(doc_id).alias("doc_id"), "t1", "t2").join(cut(places), ["t1", "t2"]).select("repeat", "length", "doc_id", "begin")
 
 
 def removal(df: DataFrame, doc_id: str = "doc_id", text: str = "text", cfg: RepeatConfig = RepeatConfig()) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    rows, dups, placed = class_spans(df, text, cfg)
+    rows, dups, placed = class_spans(df, text, cfg, doc_id=doc_id)
     covered = cut(placed.join(dups.select("t1", "t2"), ["t1", "t2"], "left_anti").groupBy("t1", "t2").agg(F.collect_set(F.struct("begin", "end")).alias("spans")))
     texts = rows.filter(F.col("n_bytes") >= cfg.length).select("text", "t1", "t2")
     if covered.count() <= cfg.broadcast_rows:
