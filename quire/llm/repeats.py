@@ -311,8 +311,6 @@ def class_spans(df: DataFrame, text: str = "text", cfg: RepeatConfig = RepeatCon
     some = bodies
     if n_hot:
         some = some.join(F.broadcast(hot) if n_hot <= cfg.broadcast_rows else hot, "h", "left_anti")
-    if crowd.count() <= cfg.broadcast_rows:  # anchors with one class need no array
-        some = some.join(F.broadcast(crowd.select("h")), "h", "left_semi")
     spans = _arrays(some, cfg, groups)
     whole = classes.filter("n > 1").select("c1", "c2", (-F.col("left")).alias("lo"), (F.col("size") - F.col("left")).alias("hi"))
     if groups:
