@@ -1,7 +1,9 @@
-"""Connected components of a link table, by alternating large-star and small-star rounds."""
+"""Connected components of a link table: alternating large-star and small-star rounds over the cluster, or, while the links
+are few enough for one task's memory by a stated bound, one union-find in that task."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,11 +21,28 @@ def _with_least(edges: DataFrame) -> DataFrame:
     return edges.join(least, "a")
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, root (the least node reachable) of every node that has a link. links: a, b, in any direction, loops allowed."""
+def _union_find(batches):
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(p, p)
+        return x
+
+    for b in batches:
+        for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist()):
+            x, y = root(x), root(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "root"])
+
+
+def components(links: DataFrame, most_rounds: int = 60, local_links: int = 200_000) -> DataFrame:
+    """node, root (the least node reachable) of every node that has a link. links: a, b (long), in any direction, loops allowed."""
     edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    if edges.isEmpty():
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if edges.limit(local_links + 1).count() <= local_links:
+        return cut(edges.repartition(1).mapInArrow(_union_find, "node long, root long"))
     before = _signature(edges)
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -5,9 +5,9 @@ cost, never the result). Two sets whose similarity reaches the threshold share a
 |x| - ceil(t|x|) + l tokens each, for every l. Each document takes the l from 1 to `most_matches` with the least estimated cost,
 from the real lengths of the posting lists in its prefix; a pair is a candidate if its prefixes share at least the smaller l.
 
-Only components are wanted, so no list is expanded into all pairs. In two rounds the members of each list are compared with
-one hub of the list (the one with the most shared prefix tokens, then a hashed one), one hub to a document; verified links are
-joined into components. What remains is exact: in each list that still holds several components, the members outside the
+Only components are wanted, so no list is expanded into all pairs. While the pairs across components outnumber the postings
+`exact_share` times, for `star_rounds` rounds at most, the members of each list are compared with one hub of the list (the one
+whose prefix is shared most, then a hashed one), one hub to a document, and verified links are joined into components. What remains is exact: in each list that still holds several components, the members outside the
 list's largest component are paired with the members of other components; the pairs with enough shared tokens are verified.
 
 Sets are compared whole and exactly: one 64-bit hash stands for a shingle, two for a set. Hub sets are sent once to each salt of
@@ -20,6 +20,7 @@ unless all of the component are null.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, cut, grams, mix64, slices, text_bytes, word_hashes, words
 from .components import components
 
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
 _PARTS = 64
 
 
@@ -42,10 +43,11 @@ class JoinConfig:
     percent: int = 90
     most_matches: int = 8
     verify_cost: int = 16
-    sketch_bits: int = 20
+    sketch_bits: int = 24
     salt_bytes: int = 8 << 20
-    broadcast_rows: int = 2_000_000
-    star_rounds: int = 2
+    broadcast_rows: int = 500_000
+    star_rounds: int = 3
+    exact_share: float = 1.0
 
     def need(self, n: int) -> int:
         return -(-n * self.percent // 100)
@@ -110,38 +112,37 @@ def set_keys(docs: DataFrame, cfg: JoinConfig) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, cfg: JoinConfig) -> np.ndarray:
-    """The count sketch over all texts: 2^sketch_bits counters, summed in pieces; its size does not grow with the data."""
+    """The count sketch over all texts: 2^sketch_bits saturating counters, summed in pieces; its size does not grow with the data."""
     shift, size = np.uint64(64 - cfg.sketch_bits), 1 << cfg.sketch_bits
     piece = size // _PARTS
 
+    def pack(x: np.ndarray) -> bytes:
+        return zlib.compress(np.minimum(x, 65535).astype("<u2").tobytes(), 1)
+
+    def unpack(x: bytes) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(x), "<u2")
+
     def count(batches):
-        table, held, n = np.zeros(size, np.int64), [], 0
+        table = np.zeros(size, np.uint32)
         for _, _, s in _each(batches, cfg.words):
-            held.append(s >> shift)
-            n += len(s)
-            if n > 1 << 21:
-                table += np.bincount(np.concatenate(held).astype(np.int64), minlength=size)
-                held, n = [], 0
-        if held:
-            table += np.bincount(np.concatenate(held).astype(np.int64), minlength=size)
+            np.add.at(table, (s >> shift).astype(np.int64), np.uint32(1))
         for p in range(_PARTS):
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([table[p * piece : (p + 1) * piece].astype(np.int32).tobytes()], pa.binary())], names=["p", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([pack(table[p * piece : (p + 1) * piece])], pa.binary())], names=["p", "c"])
 
     def total(batches):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for p, c in zip(b.column("p").to_pylist(), b.column("c").to_pylist()):
-                x = np.frombuffer(c, np.int32).astype(np.int64)
+                x = unpack(c).astype(np.uint32)
                 sums[p] = sums[p] + x if p in sums else x
         for p, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["p", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([pack(x)], pa.binary())], names=["p", "c"])
 
-    # each task's tables are summed by the executors that wrote few of them, then by piece
     rows = docs.select("text").mapInArrow(count, "p int, c binary").repartition(_PARTS, "p").mapInArrow(total, "p int, c binary").collect()
-    out = np.zeros(size, np.int64)
+    out = np.zeros(size, np.uint16)
     for r in rows:
-        out[r["p"] * piece : (r["p"] + 1) * piece] += np.frombuffer(r["c"], np.int64)
-    return np.minimum(out, (1 << 23) - 1).astype(np.uint32)
+        out[r["p"] * piece : (r["p"] + 1) * piece] = unpack(r["c"])
+    return out
 
 
 def prefix_tokens(docs: DataFrame, counts, cfg: JoinConfig) -> DataFrame:
@@ -162,7 +163,7 @@ def prefix_tokens(docs: DataFrame, counts, cfg: JoinConfig) -> DataFrame:
                     seen.clear()
                 need = cfg.need(len(s))
                 k = min(len(s), len(s) - need + min(cfg.most_matches, need))
-                order = (counts.value[s >> shift].astype(np.uint64) << np.uint64(41)) | (mix64(s) >> np.uint64(23))
+                order = (counts.value[(s >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(48)) | (mix64(s) >> np.uint64(16))
                 at = np.argpartition(order, k - 1)[:k] if k < len(s) else np.arange(k)
                 at = at[np.argsort(order[at], kind="stable")]
                 out.append((s[at], c, len(s)))
@@ -247,16 +248,22 @@ def _verified(docs: DataFrame, pairs: DataFrame, holders: DataFrame, cfg: JoinCo
 def links(docs: DataFrame, holders: DataFrame, cfg: JoinConfig) -> DataFrame:
     """node, root over classes: components of the links between different sets."""
     post = _postings(docs, cfg)
+    n_post = post.count()
     found, comp = None, None
-    for r in range(cfg.star_rounds):
-        rows = post
-        if comp is not None:
-            rows = post.join(comp, post["c"] == comp["node"], "left").select(post["*"], F.coalesce("root", "c").alias("k"))
+    for r in range(cfg.star_rounds + 1):
+        if comp is None:
+            rows = post.withColumn("k", F.col("c"))
         else:
-            rows = rows.withColumn("k", F.col("c"))
+            rows = post.join(comp, post["c"] == comp["node"], "left").select(post["*"], F.coalesce("root", "c").alias("k"))
+        # the lists that still hold several components, their largest one and a hub
         score = F.struct("cost", "c") if r == 0 else F.struct(F.xxhash64("c", F.lit(r)), "c")
-        hubs = cut(rows.groupBy("t").agg(F.max_by(F.struct("c", "n", "k"), score).alias("h"), F.min("k").alias("k0"), F.max("k").alias("k1")).filter("k0 <> k1").select("t", F.col("h.c").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.k").alias("hub_k")))
-        near = rows.join(hubs, "t").filter((F.col("hub_k") != F.col("k")) & _close("n", "hub_n", cfg)).groupBy("c", "n", "hub").agg(F.count("*").alias("m"))
+        parts = rows.groupBy("t", "k").agg(F.count("*").alias("m"), F.max(F.struct(score.alias("s"), F.struct("c", "n", "k").alias("h"))).alias("h"))
+        lists = parts.groupBy("t").agg(F.max(F.struct("m", "k")).alias("main"), F.sum("m").alias("all"), F.count("*").alias("ks"), F.max("h").alias("h")).filter("ks > 1")
+        lists = cut(lists.select("t", F.col("main.k").alias("main"), F.col("main.m").alias("m"), "all", F.col("h.h.c").alias("hub"), F.col("h.h.n").alias("hub_n"), F.col("h.h.k").alias("hub_k")))
+        left = lists.agg(F.sum((F.col("all") - F.col("m")).cast("double") * F.col("all"))).first()[0] or 0.0
+        if r == cfg.star_rounds or left <= cfg.exact_share * n_post:
+            break
+        near = rows.join(lists, "t").filter((F.col("hub_k") != F.col("k")) & _close("n", "hub_n", cfg)).groupBy("c", "n", "hub").agg(F.count("*").alias("m"))
         pairs = cut(near.groupBy("c", "n").agg(F.max_by("hub", F.struct("m", "hub")).alias("hub")))
         if pairs.isEmpty():
             continue
@@ -264,19 +271,17 @@ def links(docs: DataFrame, holders: DataFrame, cfg: JoinConfig) -> DataFrame:
         found = new if found is None else found.unionByName(new)
         comp = components(found)
         found = comp.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    rows = post.join(comp, post["c"] == comp["node"], "left").select(post["*"], F.coalesce("root", "c").alias("k")) if comp is not None else post.withColumn("k", F.col("c"))
-    sizes = rows.groupBy("t", "k").agg(F.count("*").alias("m")).groupBy("t").agg(F.max_by("k", F.struct("m", "k")).alias("main"), F.count("*").alias("ks")).filter("ks > 1").select("t", "main")
-    rows = rows.join(cut(sizes), "t")
-    rows = cut(rows)
+    if not left:
+        return comp if comp is not None else post.select(F.col("c").alias("node"), F.col("c").alias("root")).limit(0)
+    rows = cut(rows.join(lists.select("t", "main"), "t"))
     few = rows.filter("k <> main").select("t", F.col("c").alias("x"), F.col("n").alias("xn"), F.col("l").alias("xl"), F.col("k").alias("xk"))
     pairs = few.join(rows, "t").filter((F.col("xk") != F.col("k")) & _close("n", "xn", cfg) & ((F.col("k") == F.col("main")) | (F.col("x") < F.col("c"))))
     pairs = pairs.groupBy(F.least("x", "c").alias("a"), F.greatest("x", "c").alias("b")).agg(F.count("*").alias("m"), F.min(F.least("l", "xl")).alias("l"), F.max(F.when(F.col("x") < F.col("c"), F.col("n")).otherwise(F.col("xn"))).alias("n"))
     pairs = cut(pairs.filter("m >= l").select(F.col("a").alias("hub"), F.col("b").alias("c"), "n"))
     if not pairs.isEmpty():
         new = _verified(docs, pairs, holders, cfg)
-        found = new if found is None else found.unionByName(new)
-        comp = components(found)
-    return comp if comp is not None else components(post.select(F.col("c").alias("a"), F.col("c").alias("b")).limit(0))
+        comp = components(new if found is None else found.unionByName(new))
+    return comp if comp is not None else post.select(F.col("c").alias("node"), F.col("c").alias("root")).limit(0)
 
 
 def join_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", cfg: JoinConfig = JoinConfig()) -> DataFrame:
