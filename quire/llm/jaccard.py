@@ -37,12 +37,14 @@ _PARTS = 64
 
 @dataclass(frozen=True)
 class JoinConfig:
-    """words to a shingle; percent: the similarity that links; sketch_bits: log2 of the counters that order tokens."""
+    """words to a shingle; percent: the similarity that links; sketch_bits: log2 of the counters that order tokens.
+    verify_cost: of sending a set, against a posting; chance: that a pair which shares k prefix tokens by accident shares one more."""
 
     words: int = 3
     percent: int = 90
     most_matches: int = 8
-    verify_cost: int = 16
+    verify_cost: float = 256.0
+    chance: float = 0.125
     sketch_bits: int = 24
     salt_bytes: int = 8 << 20
     broadcast_rows: int = 500_000
@@ -191,7 +193,7 @@ def _postings(docs: DataFrame, cfg: JoinConfig) -> DataFrame:
     base = F.col("n") - need
     sums = [F.sum(F.when(F.col("pos") < base + k, F.col("df") - 1).otherwise(0)).alias(f"s{k}") for k in range(1, cfg.most_matches + 1)]
     per = live.groupBy("c", "n").agg(*sums)
-    options = F.array(*[F.struct((F.col(f"s{k}") * (F.lit(1.0) + F.lit(float(cfg.verify_cost)) / k)).alias("cost"), F.lit(k).alias("l")) for k in range(1, cfg.most_matches + 1)])
+    options = F.array(*[F.struct((F.col(f"s{k}") * F.lit(1.0 + cfg.verify_cost * cfg.chance ** (k - 1))).alias("cost"), F.lit(k).alias("l")) for k in range(1, cfg.most_matches + 1)])
     per = per.withColumn("best", F.array_min(F.filter(options, lambda o: o["l"] <= F.greatest(F.lit(1), need))))
     per = cut(per.select("c", F.col("best.l").alias("l"), F.col("s1").alias("cost")))
     out = live.join(per, "c").filter(F.col("pos") < base + F.col("l")).select("t", "c", "n", "l", "cost")
