@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CHUNK = 16 * 1024
 MAX_UPLOAD_BYTES = 100 * 1024 * 1024
 MAX_ENTRIES = 10_000
 MAX_UNPACKED_BYTES = 500 * 1024 * 1024
@@ -31,9 +36,59 @@ def orphans(folders: DataFrame, jobs: DataFrame, key: str) -> DataFrame:
     return folders.join(jobs.select(key).distinct(), key, "left_anti")
 
 
+def _chunks(batches):
+    """uri, length, start, n, chunk: the lines of each block with their ends, joined and cut into chunks."""
+    n = 0
+    for b in batches:
+        uris, starts, lengths, lines = b.column("uri").dictionary_encode(), b.column("start").to_numpy(), b.column("length").to_numpy(), b.column("value").to_pylist()
+        codes = uris.indices.to_numpy()
+        ends = [*(np.flatnonzero((codes[1:] != codes[:-1]) | (starts[1:] != starts[:-1])) + 1).tolist(), len(lines)]
+        first, out = 0, []
+        for end in ends if lines else []:
+            body = b"\n".join(lines[first:end]) + b"\n"
+            for at in range(0, len(body), CHUNK):
+                out.append((uris.dictionary[int(codes[first])].as_py(), int(lengths[first]), int(starts[first]), n, body[at : at + CHUNK]))
+                n += 1
+            first = end
+        cols = list(zip(*out)) if out else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["uri", "length", "start", "n", "chunk"])
+
+
+def _digests(batches):
+    """uri, digest of files whose chunks come in order; the last line end is left out if the file has none."""
+    uri = length = None
+    digest, seen, last = hashlib.sha256(), 0, b""
+
+    def done():
+        if seen == length:
+            digest.update(last)
+        elif seen != length + 1:
+            raise ValueError(f"{uri}: {seen} bytes read of {length}; its name or its first bytes make Spark's reader decode it")
+        return pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([digest.hexdigest()])], names=["uri", "digest"])
+
+    for b in batches:
+        for u, size, chunk in zip(b.column("uri").to_pylist(), b.column("length").to_pylist(), b.column("chunk")):
+            if u != uri:
+                if uri is not None:
+                    yield done()
+                uri, length, digest, seen, last = u, size, hashlib.sha256(), 0, b""
+            chunk = chunk.as_py()
+            digest.update(last + chunk[:-1])
+            seen, last = seen + len(chunk), chunk[-1:]
+    if uri is not None:
+        yield done()
+
+
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """path, size, mtime, sha256 of files."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("sha256"))
+    """path, size, mtime, sha256 of files. Executors read them by Spark's own line reader, which takes any bytes and any store, and hash
+    them in chunks, so that no file is held as a whole; a file that the reader would decode (compressed by its name, or with a byte
+    order mark) is an error. Spark lists no empty files."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.col("_metadata.file_path").alias("uri"))
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_size").alias("length"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value"))
+    chunks = lines.mapInArrow(_chunks, "uri string, length long, start long, n long, chunk binary")
+    hashed = chunks.repartition("uri").sortWithinPartitions("uri", "start", "n").mapInArrow(_digests, "uri string, digest string")
+    return files.join(hashed, "uri", "left").select("path", "size", "mtime", F.col("digest").alias("sha256"))
 
 
 def unmodified(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ def initial_style_type(spark, sf_dir):
 @query()
 def file_fingerprint(spark, sf_dir):
     """The documents table's own files; SQL has no file digests."""
-    return jobs.fingerprints(spark, f"{sf_dir}/region.parquet").select(F.substring_index("path", "/", -1).alias("name"), "size", "sha256")
+    return jobs.fingerprints(spark, f"{sf_dir}/documents.parquet").select(F.substring_index("path", "/", -1).alias("name"), "size", "sha256")
 
 
 @query("select doc_id, idx, 'elem_' || printf('%05d', idx) || '_' || substring(sha256(doc_id || ':' || idx || ':' || text), 1, 8) as element_id from man")

@@ -1,5 +1,6 @@
 """Operators on table-driven cases, sequences and documents of their own."""
 
+import hashlib
 import io
 import random
 import zipfile
@@ -252,6 +253,25 @@ def test_jobs(spark):
         jobs.found(entries, "path", "z")
 
 
+def test_fingerprints_of_the_documents(spark, tmp_path):
+    from quire.plans import catalog
+
+    folder = tmp_path / "documents.parquet"
+    rnd = random.Random(3)
+    spark.range(5000).selectExpr("id as doc_id", "sha2(string(id), 512) as text").repartition(3).write.parquet(str(folder))
+    for name, body in {"part-b": b"\n", "part-c": b"x\r\n\n", "part-d": rnd.randbytes(3_000_000), "part-e": b"no end", "part-f": b"\0" * 200_000 + b"\n"}.items():
+        (folder / name).write_bytes(body)
+    files = {f.name: f.read_bytes() for f in folder.iterdir() if f.name.startswith("part-")}
+    want = sorted((n, len(b), hashlib.sha256(b).hexdigest()) for n, b in files.items())
+    assert sorted(tuple(r) for r in catalog.file_fingerprint(spark, str(tmp_path)).collect()) == want
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")  # files of several blocks
+    try:
+        assert sorted(tuple(r) for r in catalog.file_fingerprint(spark, str(tmp_path)).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
 def test_text_helpers_on_unicode(spark):
     values = ["ABC", "Abc Def", "ǅ", "é", "É", "1A", "a1B", "", "Straße", "中文", "²x", "O'Neil's"]
     df = spark.createDataFrame([(v,) for v in values], "t string")
