@@ -64,7 +64,7 @@ def pipeline(kind: str, n_rows: int) -> Pipeline:
         StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
     ]
     if kind == "logistic_regression":
-        stages.append(LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", family="multinomial", regParam=1.0 / max(1, n_rows), elasticNetParam=0.0, standardization=False, maxIter=100, probabilityCol="probability"))
+        stages.append(LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", family="multinomial", regParam=1.0 / max(1, n_rows), elasticNetParam=0.0, standardization=False, maxIter=1500, probabilityCol="probability"))
     else:
         stages.append(DecisionTreeClassifier(featuresCol="features", labelCol="y", weightCol="weight", maxDepth=12, minInstancesPerNode=2, maxBins=256, seed=42))
     return Pipeline(stages=stages)

@@ -507,19 +507,19 @@ def synthetic_corpus(spark, sf_dir):
 
 @query()
 def lr_train(spark, sf_dir):
-    _, accuracy = models.train(spark, "logistic_regression", 24)
+    _, accuracy = models.train(spark, "logistic_regression")
     return spark.createDataFrame([("logistic_regression", float(accuracy))], "model string, accuracy double")
 
 
 @query()
 def tree_train(spark, sf_dir):
-    _, accuracy = models.train(spark, "decision_tree", 24)
+    _, accuracy = models.train(spark, "decision_tree")
     return spark.createDataFrame([("decision_tree", float(accuracy))], "model string, accuracy double")
 
 
 @query()
 def hybrid_pipeline(spark, sf_dir):
-    model, _ = models.train(spark, "logistic_regression", 24)
+    model, _ = models.train(spark, "logistic_regression")
     return hybrid.classified(_man(spark, sf_dir), model).select("doc_id", "idx", "label", "conf", "tier", "final_label", "final_conf", "smooth_reason")
 
 

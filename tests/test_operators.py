@@ -185,6 +185,17 @@ def test_models(spark, tmp_path):
         models.pipeline("forest", 1)
 
 
+def test_registered_models_train_on_the_full_corpus(spark, small, monkeypatch):
+    from quire.plans import catalog
+
+    asked, train = [], models.training_rows
+    monkeypatch.setattr(models, "training_rows", lambda spark, documents, seed: asked.append(documents) or train(spark, 6, seed))
+    for name in ("lr_train", "tree_train", "hybrid_pipeline"):
+        catalog.QUERIES[name](spark, small)
+    assert asked == [120] * 3
+    assert models.pipeline("logistic_regression", 1).getStages()[-1].getMaxIter() == 1500
+
+
 W_NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 
 
