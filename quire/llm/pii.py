@@ -32,11 +32,15 @@ _TITLES = {
     "n": ("Dr", "Prof"),
 }
 _TITLE = "|".join(t for ts in _TITLES.values() for t in sorted(ts, key=len, reverse=True))
+#: A phone ends before an address or another dotted number; the freer form is for numbers that have dots themselves.
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_AREA = r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?"
+_GROUP = rf"(?! (?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d))[ .-]?\d{{2,4}}"
 PATTERNS = {
     "email": rf"(?<![{_L}])[{_L}]++@(?:[\p{{L}}\p{{N}}-]++\.)+\p{{L}}{{2,24}}",
     "secret": r"""(?<=["'])(?<=(?i:token|secret|passwd|password|api_key|apikey|api-key)\s{0,3}[=:]\s{0,3}["'])[A-Za-z0-9+/_=.-]{8,512}+(?=["'])""",
     "ip": r"(?<![\p{L}\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
-    "phone": r"(?<![\p{L}\d+])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d-])",
+    "phone": rf"(?<![\p{{L}}\d+])(?:\+1[ .-]?(?:\(\d{{3}}\)|\d{{3}})[ .-]?\d{{3}}[ .-]?\d{{4}}(?![\d-])|{_AREA}(?:{_GROUP}){{2}}(?:(?! \d{{1,4}}\.\d){_GROUP}){{0,2}}(?![\d-])|{_AREA}(?:[ .-]?\d{{2,4}}){{2,4}}|" r"\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d-])",
     "ssn": r"(?<![\p{L}\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\p{L}\d.-])(?:\d{13,19}|\d{4}([ -])\d{4}\g\d{4}\g\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d\p{L}])",
     "iban": r"(?<![\p{L}\d])[A-Z]{2}\d{2} ?(?:[A-Z]{4}|\d{4})(?: ?\d{4}){2,6}(?: ?\d{1,3})?(?![\p{L}\d])",
@@ -46,10 +50,12 @@ PATTERNS = {
 
 def _combined() -> str:
     parts = {k: v.replace(r"([ -])\d{4}\g\d{4}\g", r"(?<s>[ -])\d{4}\k<s>\d{4}\k<s>") for k, v in PATTERNS.items()}
-    return "|".join(f"(?:{v})" for v in parts.values())
+    return "|".join(f"({v})" if k == "secret" else f"(?:{v})" for k, v in parts.items())
 
 
+#: Group 1 is a secret's, whatever else its characters look like.
 ANY = _combined()
+_SECRET_KEY = r"""(?i:token|secret|passwd|password|api_key|apikey|api-key)\s{0,3}[=:]\s{0,3}["']"""
 #: A text without any of these holds no entity; two cheap scans.
 HINTS = (r"[@0-9\"']", rf"(?<!\p{{L}})(?:{_TITLE})\.? ")
 
@@ -209,10 +215,17 @@ def found(text: Column) -> Column:
     return F.when(text.rlike(HINTS[0]) | text.rlike(HINTS[1]), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def kinds(text: Column, forms: Column) -> Column:
+    """array<struct<s, k>>: the mentions of a text and their types, a secret by the alternative that matched."""
+    plain = F.transform(forms, lambda s: F.struct(s.alias("s"), kind(s).alias("k")))
+    secrets = F.regexp_extract_all(text, F.lit(ANY), F.lit(1))
+    return F.when((F.size(forms) > 0) & text.rlike(_SECRET_KEY), F.zip_with(plain, secrets, lambda x, q: F.struct(x["s"].alias("s"), F.when(q != "", "secret").otherwise(x["k"]).alias("k")))).otherwise(plain)
+
+
 def entities(df: DataFrame, text: str = "text") -> DataFrame:
     """The distinct entities: kind, canon, form (a mention, the smallest) and n mentions; summed before they are shuffled."""
-    rows = df.select(F.explode(found(F.col(text))).alias("form"))
-    rows = rows.select("form", kind(F.col("form")).alias("kind"))
+    rows = df.select(F.col(text).alias("text"), found(F.col(text)).alias("forms"))
+    rows = rows.select(F.explode(kinds(F.col("text"), F.col("forms"))).alias("x")).select(F.col("x.s").alias("form"), F.col("x.k").alias("kind"))
     return rows.filter("kind <> 'none'").select("kind", canonical(F.col("form"), F.col("kind")).alias("canon"), "form").groupBy("kind", "canon").agg(F.min("form").alias("form"), F.count("*").alias("n"))
 
 
@@ -245,7 +258,7 @@ def replaced(df: DataFrame, text: str = "text", cfg: PiiConfig = PiiConfig(), co
     t = F.col(text)
     forms, look = free_name(df.columns, "__forms"), free_name(df.columns, "__later")
     # each step is a column of its own, so that no expression is copied into the next
-    rows = df.withColumn(forms, found(t)).withColumn(forms, F.transform(forms, lambda s: F.struct(s.alias("s"), kind(s).alias("k"))))
+    rows = df.withColumn(forms, found(t)).withColumn(forms, kinds(t, F.col(forms)))
     rows = rows.withColumn(forms, F.transform(forms, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), canonical(x["s"], x["k"]).alias("c"))))
     key = lambda x: F.concat(x["k"], F.lit("\x00"), x["c"])
     entry = F.struct(F.concat("kind", F.lit("\x00"), "canon").alias("k"), "attempt")

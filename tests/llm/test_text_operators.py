@@ -190,6 +190,26 @@ def test_surrogates(spark):
     assert int("".join(str(int(c, 36)) for c in two[4:] + two[:4])) % 97 == 1
 
 
+def test_surrogates_of_neighbours_and_numeric_secrets(spark):
+    texts = [
+        "call +1 (826) 555-4081 190.137.223.204 now",
+        "call +1 (826) 555-4081 soon",
+        "call +44 20 7946 0958 10.20.30.40 now",
+        "call +33 1 42.68.53.10 now",
+        "call +49 30 123456 12.5 times",
+        'token = "1234567890123456" end',
+        'token = "123-45-6789" end',
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    known = {(r["kind"], r["canon"]) for r in pii.entities(df).collect()}
+    assert known == {("phone", "18265554081"), ("ip", "190.137.223.204"), ("phone", "442079460958"), ("ip", "10.20.30.40"), ("phone", "33142685310"), ("phone", "4930123456"), ("secret", "1234567890123456"), ("secret", "123-45-6789")}
+    got = [r for r in pii.replaced(df).orderBy("doc_id").collect()]
+    assert [r["n_entities"] for r in got] == [2, 1, 2, 1, 1, 1, 1]
+    assert "223.204" not in got[0]["text"] and "30.40" not in got[2]["text"] and "12.5 times" in got[4]["text"]
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[0]["text"])[0] == re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[1]["text"])[0]
+    assert "1234567890123456" not in got[5]["text"] and re.search(r'"\d{16}"', got[5]["text"])
+
+
 def test_surrogates_stay_distinct(spark):
     """More people than names: every one gets a surrogate of its own, the same in every mention, and reruns agree."""
     people = [f"Mr. {a} {b}" for a in ("Aaron", "Basil", "Cyril", "Derek", "Edwin") for b in (f"Q{chr(97 + i)}{chr(97 + j)}x" for i in range(12) for j in range(12))]
