@@ -11,7 +11,7 @@ left contexts, which tests left-extension diversity: a node of both trees with l
 members are all its occurrences, not just neighbours. Groups of more than `hot` classes would make a large task; they are split by
 the windows of `length` bytes that hold the anchor, and the windows are counted with map-side sums.
 
-`spans` gives the repeated bytes of each distinct text, `maximal_repeats` the groups themselves, `removal` the digest of what is left.
+`spans` gives the repeated bytes of each distinct text, `whole_repeats` the groups themselves (`maximal_repeats` as far as contexts show them), `removal` the digest of what is left.
 
 Defined cases: null counts as empty; texts under `length` bytes repeat nothing; a repeated row is another place, so rows
 with equal texts of `length` bytes or more lose all; matches are on UTF-8 bytes and never cross rows.
@@ -20,7 +20,7 @@ with equal texts of `length` bytes or more lose all; matches are on UTF-8 bytes
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -69,15 +69,16 @@ def anchors(raw: np.ndarray, cfg: RepeatConfig) -> tuple[np.ndarray, np.ndarray]
     if len(raw) < cfg.length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     found, base = [], 0
+    low = np.uint64(max(int(_LOW), (1 << (_CHUNK + cfg.span).bit_length()) - 1))
     while base + cfg.length <= len(raw):
         part = raw[base : base + _CHUNK + cfg.length - 1]
         h = window_hashes(part, cfg.k)
-        key = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
+        key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
         width = 1
         while width < cfg.span:
             key = np.minimum(key[:-width], key[width:])
             width *= 2
-        at = (key & _LOW).astype(np.int64)
+        at = (key & low).astype(np.int64)
         at = at[np.concatenate([[True], at[1:] != at[:-1]])]
         found.append((at + base, h[at]))
         base += _CHUNK
@@ -161,8 +162,9 @@ def _found(texts: DataFrame, cfg: RepeatConfig) -> DataFrame:
 _CONTEXT = "h long, left int, size int, c1 long, c2 long, t1 long, t2 int, pos int, ctx binary"
 
 
-def _contexts(rows: DataFrame, cfg: RepeatConfig) -> DataFrame:
-    """h, left, size, c1, c2 (name of the context), t1, t2, pos, ctx of every repeated anchor; a task sends the bytes of a context once."""
+def _contexts(rows: DataFrame, cfg: RepeatConfig, wide: bool = False) -> DataFrame:
+    """h, left, size, c1, c2 (name of the context), t1, t2, pos, ctx of every repeated anchor; a task sends the bytes of a context once.
+    wide: one byte more to the left and `length` more to the right, where a repeat under twice `length` ends."""
     names = [x.split()[0] for x in _CONTEXT.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
@@ -176,8 +178,8 @@ def _contexts(rows: DataFrame, cfg: RepeatConfig) -> DataFrame:
                 body = raw[offs[r] : offs[r + 1]].tobytes()
                 for a in at:
                     h, p = a["h"], a["pos"]
-                    left = min(cfg.span - 1, p)
-                    ctx = body[p - left : p + cfg.length]
+                    left = min(cfg.span - 1 + wide, p)
+                    ctx = body[p - left : p + cfg.length * (1 + wide)]
                     name = xxhash.xxh3_128_intdigest(ctx, (h ^ left) % 2**64)
                     c1, c2 = (name >> 64) - 2**63, name % 2**64 - 2**63
                     sent = ctx
@@ -208,8 +210,9 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out]
 
 
-def _arrays(classes: DataFrame, cfg: RepeatConfig, groups: bool) -> DataFrame:
-    """One enhanced suffix array per anchor: c1, c2, lo, hi (and repeat, length with `groups`), relative to the anchor."""
+def _arrays(classes: DataFrame, cfg: RepeatConfig, groups: bool, wide: bool = False) -> DataFrame:
+    """One enhanced suffix array per anchor: c1, c2, lo, hi (and repeat with `groups`), relative to the anchor.
+    wide: of wide contexts, the repeats under twice `length` whose first window has this anchor."""
     names = ["c1", "c2", "lo", "hi"] + ["repeat"] * groups
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()] + [pa.int64()] * groups
 
@@ -219,8 +222,11 @@ def _arrays(classes: DataFrame, cfg: RepeatConfig, groups: bool) -> DataFrame:
         found = repeat_groups(contexts, cfg) if len(held) > 1 else []
         if groups:
             for left, right, members in found:
+                if wide and (left >= cfg.span or left + right >= 2 * cfg.length):
+                    continue  # it begins at an earlier anchor, or a longer `length` finds it
                 c, n = contexts[members[0]]
-                name = xxhash.xxh64_intdigest(c[n - left : n + right]) - (1 << 63)
+                name = xxhash.xxh64_intdigest(c[n - left : n + right], 42)  # as Spark's xxhash64
+                name -= (name >> 63) << 64
                 for i in members:
                     for col, v in zip(out, (held[i][1], held[i][2], -left, right, name)):
                         col.append(v)
@@ -328,13 +334,40 @@ def class_spans(df: DataFrame, text: str = "text", cfg: RepeatConfig = RepeatCon
 
 def maximal_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", cfg: RepeatConfig = RepeatConfig()) -> DataFrame:
     """repeat, length, doc_id, begin: all occurrences of every maximal repeat, as far as an anchor's context shows it. Windows of
-    hot anchors are reported without a repeat's name."""
+    hot anchors are reported without a repeat's name. `whole_repeats` has neither bound."""
     rows, dups, placed = class_spans(df, text, cfg, groups=True, doc_id=doc_id)
     places = placed.select("repeat", (F.col("end") - F.col("begin")).alias("length"), "t1", "t2", "begin").distinct()
     places = places.unionByName(dups.select(F.col("t1").alias("repeat"), F.col("n_bytes").cast("int").alias("length"), "t1", "t2", F.lit(0).alias("begin")))  # copied texts, as wholes
     return rows.select(F.col(doc_id).alias("doc_id"), "t1", "t2").join(cut(places), ["t1", "t2"]).select("repeat", "length", "doc_id", "begin")
 
 
+def whole_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", cfg: RepeatConfig = RepeatConfig()) -> DataFrame:
+    """repeat, length, doc_id, begin: all occurrences of every maximal repeat, however long or frequent. Each round finds those from `length` to twice `length`
+    bytes, whole within their contexts, then doubles `length` and `span` (sparser anchors, longer contexts) for the texts that still
+    share an anchor. Every anchor has one array here, `hot` ones too: a very frequent passage is a large task."""
+    rows = _texts(df, text)
+    long_ = rows.filter(F.col("n_bytes") >= cfg.length)
+    dups = cut(long_.groupBy("t1", "t2", "n_bytes").agg(F.count("*").alias("m")).filter("m > 1"))
+    places = dups.select(F.col("t1").alias("repeat"), F.col("n_bytes").cast("int").alias("length"), "t1", "t2", F.lit(0).alias("begin"))  # copied texts, as wholes
+    texts = cut(long_.select("text", "t1", "t2", "n_bytes").dropDuplicates(["t1", "t2"]))
+    while True:
+        found = _found(texts, cfg)
+        again = cut(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
+        live = cut(found.join(again, "h").groupBy("t1", "t2").agg(F.collect_set(F.struct("pos", "h")).alias("at")))
+        if live.isEmpty():
+            break
+        live = live.withColumn("t2", F.col("t2").cast("long"))
+        use = texts.join(live, ["t1", "t2"]).withColumn("t2", F.col("t2").cast("int"))
+        contexts = stored(_contexts(use, cfg, wide=True), "contexts")
+        spans = cut(_arrays(contexts.filter("ctx is not null").select("h", "c1", "c2", "ctx", "left"), cfg, True, True))
+        placed = contexts.select("c1", "c2", "t1", "t2", "pos").join(spans, ["c1", "c2"])
+        placed = placed.select("repeat", (F.col("hi") - F.col("lo")).alias("length"), "t1", F.col("t2").cast("long").alias("t2"), (F.col("pos") + F.col("lo")).alias("begin"))
+        places = cut(places.unionByName(placed).distinct())
+        cfg = replace(cfg, length=2 * cfg.length, span=2 * cfg.span)
+        texts = cut(texts.filter(F.col("n_bytes") >= cfg.length).join(live.select("t1", "t2"), ["t1", "t2"], "left_semi"))
+    return rows.select(F.col(doc_id).alias("doc_id"), "t1", "t2").join(places, ["t1", "t2"]).select("repeat", "length", "doc_id", "begin")
+
+
 def removal(df: DataFrame, doc_id: str = "doc_id", text: str = "text", cfg: RepeatConfig = RepeatConfig()) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows, dups, placed = class_spans(df, text, cfg, doc_id=doc_id)

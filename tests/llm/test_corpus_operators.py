@@ -260,6 +260,32 @@ def test_maximal_repeats(spark):
     assert any(len(p) == 3 for p in groups.values())
 
 
+@pytest.mark.parametrize("hot", [1, 512])
+def test_whole_repeats_against_brute_force(spark, hot):
+    rnd = random.Random(5)
+    noise = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    long_, some = noise(330), noise(60)  # contexts of 55 bytes show neither as one
+    texts = [noise(20) + long_ + noise(20), noise(9) + long_, long_ + noise(7) + some, some + noise(15) + some, noise(30) + long_[100:190] + "!", "xy" * 45, noise(90)]
+    texts += [texts[1], some, texts[0][:200] + "?"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    every = defaultdict(set)
+    for i, t in enumerate(texts):
+        for a in range(len(t)):
+            for z in range(a + 40, len(t) + 1):
+                every[t[a:z]].add((i, a))
+    side = lambda places, d: {texts[i][a + d : a + d + 1] if a + d >= 0 else "" for i, a in places}
+    diverse = lambda x: len(x) > 1 or "" in x
+    want = {s: p for s, p in every.items() if len(p) > 1 and diverse(side(p, -1)) and diverse(side(p, len(s)))}
+    got, names = defaultdict(set), defaultdict(set)
+    for r in (rows := repeats.whole_repeats(df, cfg=repeats.RepeatConfig(length=40, span=16, hot=hot)).collect()):
+        s = texts[r["doc_id"]][r["begin"] : r["begin"] + r["length"]]
+        got[s].add((r["doc_id"], r["begin"]))
+        names[s].add(r["repeat"])
+    assert dict(got) == want and len(rows) == sum(map(len, want.values()))
+    assert all(len(n) == 1 and None not in n for n in names.values()) and len(set.union(*names.values())) == len(names)
+    assert {i for i, _ in got[long_]} == {0, 1, 2, 7}
+
+
 def test_interval_tree():
     order, found = repeats.intervals([b"abab", b"abba", b"abab", b"b"])
     assert [x for x in found if x[0] == 4] == [(4, 0, 1)] and (2, 0, 2) in found and (0, 0, 3) in found
