@@ -293,10 +293,11 @@ def join_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", c
     classes = keys.filter("n > 0").groupBy("c1").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("m"))
     classes = cut(classes.withColumnRenamed("c1", "c"))
     # copies of a class: all but its smallest doc_id need no work
-    copies = cut(keys.filter("n > 0").join(classes.filter("m > 1").select(F.col("c").alias("c1"), F.col("doc_id").alias("first")), "c1").filter(F.col("doc_id") != F.col("first")).select("doc_id").distinct())
+    copies = cut(keys.filter("n > 0").join(classes.filter("m > 1").select(F.col("c").alias("c1"), F.col("doc_id").alias("first")), "c1").filter(F.col("doc_id") != F.col("first")).select(F.col("doc_id").alias("copy_id"), F.col("h").alias("copy_h")).distinct())
     alone = docs
     if 0 < copies.count() <= cfg.broadcast_rows:
-        alone = docs.join(F.broadcast(copies), "doc_id", "left_anti")
+        # by id and text, as an id may stand on other texts too
+        alone = docs.join(F.broadcast(copies), (F.col("doc_id") == F.col("copy_id")) & (F.xxhash64("text") == F.col("copy_h")), "left_anti")
     comp = links(alone, classes.select("c", "doc_id"), cfg)
     least = classes.join(comp, classes["c"] == comp["node"], "left").select("c", F.coalesce("root", "c").alias("root"), "doc_id", "m")
     roots = cut(least.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("m").alias("members")).filter("members > 1"))

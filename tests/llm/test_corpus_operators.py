@@ -72,6 +72,13 @@ def test_jaccard_keeps_one_of_each(spark):
     assert jaccard.one_of_each(df.limit(0), cfg=cfg).count() == 0
 
 
+def test_jaccard_keeps_other_texts_of_a_copied_id(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    df = spark.createDataFrame([(1, a), (5, a), (5, b), (9, b + " b40")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join_components(df, cfg=jaccard.JoinConfig(words=3, percent=80)).collect() if r["doc_id"] == 9}
+    assert got == {9: 5}
+
+
 @pytest.mark.parametrize("local", [0, 10**6])
 def test_components(spark, local):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 200), (200, 300), (7, 7), (500, 501), (501, 500)]
