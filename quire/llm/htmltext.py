@@ -205,7 +205,7 @@ def build(html: str) -> tuple[Node, list[str]]:
             continue
         if at > i:
             b.text(_decode(html[i:at]))
-        if nxt in "!?" or nxt == "/" and not html[at + 2 : at + 3].isalpha():
+        if nxt in "!?" or nxt == "/" and not (html[at + 2 : at + 3].isascii() and html[at + 2 : at + 3].isalpha()):
             if html.startswith("<!--", at):
                 i = _COMMENT.match(html, at).end()
             else:
@@ -242,11 +242,40 @@ def _decode(text: str) -> str:
     return unescape(text) if "&" in text else text
 
 
+def _on_screen(sheet: str) -> str:
+    """The rules of a sheet that hold on any screen: blocks of other at-rules (print, sizes, key frames) are left out."""
+    out, kept, skip, last = [], [], 0, 0
+    for m in re.finditer(r"[{};]", sheet):
+        head, last = sheet[last : m.end()], m.end()
+        if m[0] == "{":
+            rule = head[:-1].strip().lower()
+            if skip or rule.startswith("@") and not _applies(rule):
+                skip += 1
+                continue
+            kept.append(not rule.startswith("@"))
+            if kept[-1]:
+                out.append(head)
+        elif m[0] == "}":
+            if skip:
+                skip -= 1
+            elif kept and kept.pop():
+                out.append(head)
+        elif not skip and not head.strip().startswith("@"):
+            out.append(head)
+    return "".join(out) + ("" if skip else sheet[last:])
+
+
+def _applies(rule: str) -> bool:
+    if rule.startswith("@media"):
+        return any(" ".join(q.split()) in ("", "all", "screen", "only all", "only screen", "not print", "not speech") for q in rule[6:].split(","))
+    return rule.startswith(("@layer", "@supports"))
+
+
 def hidden_selectors(sheets: list[str]) -> set[str]:
     """Simple selectors (tag, .class, #id) that a style sheet hides."""
     out: set[str] = set()
     for sheet in sheets:
-        for m in _RULE.finditer(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
+        for m in _RULE.finditer(_on_screen(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S))):
             if _UNSEEN.search(m[2]):
                 out.update(s for x in m[1].split(",") if _SELECTOR.fullmatch(s := x.strip()))
     return out

@@ -113,6 +113,17 @@ def test_html_cases(html, text):
     assert htmltext.render(html) == text
 
 
+def test_html_at_rules_and_odd_end_tags():
+    from quire.llm import htmltext
+
+    hidden = lambda css: htmltext.hidden_selectors([css])
+    assert hidden("@import 'x';@media print{nav{display:none} .a{color:red}} .b{display:none}") == {".b"}
+    assert hidden("@media screen{nav{display:none}} @media print{i{display:none}}p{display:none}") == {"nav", "p"}
+    assert hidden("@font-face{src:x} .c{color:red;display:none}") == {".c"}
+    assert htmltext.render("<p>a</é>b</p><p>c</p>") == "ab\n\nc"
+    assert htmltext.render("<style>@media print{nav{display:none}}</style><nav>menu</nav>") == "menu"
+
+
 def test_html_words_against_a_plain_parser(spark):
     from html.parser import HTMLParser
 
