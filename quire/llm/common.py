@@ -21,6 +21,7 @@ _RNG = np.random.Generator(np.random.PCG64(20240229))
 #: A random 64-bit value per byte, so that word hashes have no byte-level structure.
 BYTE_KEYS = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 PRIME = np.uint64(0x9E3779B97F4A7C15)
+_BLOCK = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,7 +43,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back; survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
@@ -50,9 +51,13 @@ def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def in_batches(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow of the named columns; an empty input keeps its schema."""
-    return df.mapInArrow(fn, schema)
+def discard(df: DataFrame) -> None:
+    """Frees a table of `stored` that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {p.rpartition("/")[0] for p in df.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if "/quire/" in path:
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -127,14 +132,19 @@ def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, the same wherever the word stands."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = POWERS.get(len(raw) + 1)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(BYTE_KEYS[raw] * up[: len(raw)], out=total[1:])
-        return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each word's bytes, the same wherever the word stands. Works in blocks of words, so a long text needs no more memory."""
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        a = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, a + _BLOCK, "right")))
+        part = raw[a : ends[j - 1]]
+        up, down = POWERS.get(len(part) + 1)
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(BYTE_KEYS[part] * up[: len(part)], out=total[1:])
+            out[i:j] = mix64((total[ends[i:j] - a] - total[starts[i:j] - a]) * down[starts[i:j] - a] + (ends[i:j] - starts[i:j]).astype(np.uint64))
+        i = j
+    return out
 
 
 def grams(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,26 +1,30 @@
 """Exact Jaccard self-join of word-shingle sets with adaptive multi-match prefixes; returns the components of its links.
 
-Equal sets are one class. Tokens have a global order, rare ones first (a fixed-size count sketch over all texts; it affects the
+Equal sets are one class. Tokens have a global order, rare ones first, by a count sketch over all texts (see `sketch`; it affects the
 cost, never the result). Two sets whose similarity reaches the threshold share at least l tokens of their l-prefixes, of
-|x| - ceil(t|x|) + l tokens each, for every l. Each document takes the l from 1 to `most_matches` with the least estimated cost,
-from the real lengths of the posting lists in its prefix; a pair is a candidate if its prefixes share at least the smaller l.
+|x| - ceil(t|x|) + l tokens each, for every l. Each document takes, where its text is read, the l from 1 to `most_matches` with the
+least candidate cost as the sketch estimates it; a pair is a candidate if its prefixes share at least the smaller l. Tokens that the
+sketch proves to be of one set alone are not sent. A token at places i and j of two sets of x and y tokens bounds what they share by
+min(i, j) + 1 + min(x - i, y - j) - 1; where that cannot reach the threshold, the token counts for nothing, since it cannot be of a link.
 
-Only components are wanted, so no list is expanded into all pairs. While the pairs across components outnumber the postings
-`exact_share` times, for `star_rounds` rounds at most, the members of each list are compared with one hub of the list (the one
-whose prefix is shared most, then a hashed one), one hub to a document, and verified links are joined into components. What remains is exact: in each list that still holds several components, the members outside the
-list's largest component are paired with the members of other components; the pairs with enough shared tokens are verified.
+Only components are wanted, so no list is expanded into all pairs. In rounds, the members of each list that holds several components
+are compared with one hub of the list (the one whose prefix is shared most, then a hashed one), one hub to a document, if their
+prefixes share enough tokens; verified links are joined into components, and only lists that still hold several are kept. Rounds go on
+while what is left falls. What remains is exact: in each list left, the members outside the list's largest component are paired with
+the members of other components; the pairs with enough shared tokens are verified. Many sets that nearly reach the threshold, all of
+them with all, cost the square of their number there.
 
-Sets are compared whole and exactly: one 64-bit hash stands for a shingle, two for a set. Hub sets are sent once to each salt of
-their members, whose number follows their bytes.
+Sets are compared whole and exactly: one 64-bit hash stands for a shingle, two for a set. Where two sets share the first hash of the
+two, they get new names. Hub sets are sent once to each salt of their members, whose number follows their bytes.
 
 Defined cases: null text and text without words: size 0, linked with nothing, not even with each other; fewer words than a
-shingle: the whole sequence is the one shingle; repeated rows: one class; a null doc_id takes part but never names a component
-unless all of the component are null.
+shingle: the whole sequence is the one shingle; repeated rows: one class; a doc_id on several texts: each row has its own set and
+component; a null doc_id takes part but never names a component unless all of the component are null.
 """
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,28 +32,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, grams, mix64, slices, text_bytes, word_hashes, words
+from .common import LOWER, cut, discard, grams, mix64, slices, stored, text_bytes, word_hashes, words
 from .components import components
+from .sketch import LEVELS, bits_for, count_sketch, slot
 
 _CHUNK = 1 << 20
-_PARTS = 64
 
 
 @dataclass(frozen=True)
 class JoinConfig:
-    """words to a shingle; percent: the similarity that links; sketch_bits: log2 of the counters that order tokens.
-    verify_cost: of sending a set, against a posting; chance: that a pair which shares k prefix tokens by accident shares one more."""
+    """words to a shingle; percent: the similarity that links; sketch_bits: log2 of the most counters that order tokens.
+    verify_cost: of sending a set, against a posting; chance: that a pair which shares k prefix tokens by accident shares one more.
+    exact_share: pairs left to a posting, below which the exact step begins; fall: the share of them that a round must do away with,
+    else the exact step begins, too. name_bits: bits of a class name (fewer in tests of clashing names)."""
 
     words: int = 3
     percent: int = 90
     most_matches: int = 8
     verify_cost: float = 256.0
     chance: float = 0.125
-    sketch_bits: int = 24
+    sketch_bits: int = 26
     salt_bytes: int = 8 << 20
     broadcast_rows: int = 500_000
-    star_rounds: int = 3
-    exact_share: float = 1.0
+    exact_share: float = 4.0
+    fall: float = 0.1
+    name_bits: int = 64
 
     def need(self, n: int) -> int:
         return -(-n * self.percent // 100)
@@ -108,99 +115,112 @@ def set_keys(docs: DataFrame, cfg: JoinConfig) -> DataFrame:
         for b in batches:
             keys = [(len(s), *set_key(s)) for _, _, s in _each([b], cfg.words)]
             cols = list(zip(*keys)) if keys else [()] * 3
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), *[pa.array(c, pa.int64()) for c in cols]], names=["doc_id", "h", "n", "c1", "c2"])
+            c1 = pa.array(np.array(cols[1], np.int64) >> (64 - cfg.name_bits))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(cols[0], pa.int64()), c1, pa.array(cols[2], pa.int64())], names=["doc_id", "h", "n", "c1", "c2"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"doc_id {id_type}, h long, n long, c1 long, c2 long")
 
 
-def token_counts(docs: DataFrame, cfg: JoinConfig) -> np.ndarray:
-    """The count sketch over all texts: 2^sketch_bits saturating counters, summed in pieces; its size does not grow with the data."""
-    shift, size = np.uint64(64 - cfg.sketch_bits), 1 << cfg.sketch_bits
-    piece = size // _PARTS
-
-    def pack(x: np.ndarray) -> bytes:
-        return zlib.compress(np.minimum(x, 65535).astype("<u2").tobytes(), 1)
-
-    def unpack(x: bytes) -> np.ndarray:
-        return np.frombuffer(zlib.decompress(x), "<u2")
-
-    def count(batches):
-        table = np.zeros(size, np.uint32)
-        for _, _, s in _each(batches, cfg.words):
-            np.add.at(table, (s >> shift).astype(np.int64), np.uint32(1))
-        for p in range(_PARTS):
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([pack(table[p * piece : (p + 1) * piece])], pa.binary())], names=["p", "c"])
-
-    def total(batches):
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for p, c in zip(b.column("p").to_pylist(), b.column("c").to_pylist()):
-                x = unpack(c).astype(np.uint32)
-                sums[p] = sums[p] + x if p in sums else x
-        for p, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([pack(x)], pa.binary())], names=["p", "c"])
-
-    rows = docs.select("text").mapInArrow(count, "p int, c binary").repartition(_PARTS, "p").mapInArrow(total, "p int, c binary").collect()
-    out = np.zeros(size, np.uint16)
-    for r in rows:
-        out[r["p"] * piece : (r["p"] + 1) * piece] = unpack(r["c"])
-    return out
-
-
-def prefix_tokens(docs: DataFrame, counts, cfg: JoinConfig) -> DataFrame:
-    """t, c (class), n, pos: the longest prefix that a document may take, in the global order. `counts`: the broadcast sketch."""
+@dataclass(frozen=True)
+class Names:
+    """The name (long) of a set: its first hash, or another one if other sets have that hash, too."""
+
+    bits: int
+    other: dict
+
+    def of(self, s: np.ndarray) -> int:
+        c1, c2 = set_key(s)
+        c1 >>= 64 - self.bits
+        return self.other.get((c1, c2), c1) if self.other else c1
+
+
+def _names(classes: DataFrame, cfg: JoinConfig, most: int = 100_000) -> Names:
+    """New names for the sets that share their first hash: next to none with 64 bits, so a bound on them is an error's sign."""
+    shared = classes.groupBy("c1").agg(F.count("*").alias("sets")).filter("sets > 1").select("c1")
+    clash = [(r["c1"], r["c2"]) for r in classes.join(shared, "c1", "left_semi").select("c1", "c2").limit(most + 1).collect()]
+    if len(clash) > most:
+        raise ValueError(f"more than {most} sets share a name; take more name_bits")
+    for salt in range(100):
+        other = {k: int.from_bytes(hashlib.sha256(f"{k[0]}:{k[1]}:{salt}".encode()).digest()[:8], "little", signed=True) for k in clash}
+        if len(set(other.values())) == len(other) and (not other or classes.join(F.broadcast(classes.sparkSession.createDataFrame([(v,) for v in other.values()], "c1 long")), "c1", "left_semi").isEmpty()):
+            return Names(cfg.name_bits, other)
+    raise ValueError("no free names were found")
+
+
+def _named(df: DataFrame, names: Names) -> DataFrame:
+    """`df` with the name c of the set of c1, c2."""
+    if not names.other:
+        return df.withColumn("c", F.col("c1"))
+    new = df.sparkSession.createDataFrame([(*k, v) for k, v in names.other.items()], "c1 long, c2 long, other long")
+    return df.join(F.broadcast(new), ["c1", "c2"], "left").withColumn("c", F.coalesce("other", "c1")).drop("other")
+
+
+def token_counts(docs: DataFrame, cfg: JoinConfig, total: int) -> tuple[np.ndarray, int]:
+    """The count sketch of all sets and log2 of its size, which follows `total`, the number of their tokens, up to sketch_bits."""
+    bits = bits_for(total, cfg.sketch_bits)
+    return count_sketch(docs.select("text"), lambda batches: (s for _, _, s in _each(batches, cfg.words)), bits), bits
+
+
+def _prefix(s: np.ndarray, levels: np.ndarray, noise: float, cfg: JoinConfig) -> tuple[np.ndarray, int, float]:
+    """The places in `s` of the prefix it takes, in the global order; its l, and the cost of the shortest prefix."""
+    need = cfg.need(len(s))
+    most = min(cfg.most_matches, need)
+    k = len(s) - need + most
+    order = (levels.astype(np.uint64) << np.uint64(56)) | (mix64(s) >> np.uint64(8))
+    if k < len(s):
+        at = np.argpartition(order, k - 1)[:k]
+        if (order <= order[at].max()).sum() > k:  # a tie at the end; `s` is sorted, so a stable order is the same for all sets
+            at = np.argsort(order, kind="stable")[:k]
+    else:
+        at = np.arange(k)
+    at.sort()
+    at = at[np.argsort(order[at], kind="stable")]
+    others = np.cumsum(np.maximum(LEVELS[levels[at]] - 1 - noise, 0))[k - most :]
+    cost = others * (1 + cfg.verify_cost * cfg.chance ** np.arange(most))
+    best = int(cost.argmin())
+    return at[: k - most + best + 1], best + 1, float(others[0])
+
+
+def prefixes(docs: DataFrame, counts, bits: int, noise: float, names: Names, cfg: JoinConfig) -> DataFrame:
+    """c, n, l, cost, tokens (t, pos) of the prefix of every set, without tokens of one set alone. `counts`: the broadcast sketch."""
 
     def run(batches):
-        shift, seen = np.uint64(64 - cfg.sketch_bits), set()
         for b in batches:
-            out: list[tuple] = []
+            c, n, l, cost, t, pos = [], [], [], [], [], []  # noqa: E741
             for _, _, s in _each([b], cfg.words):
                 if not len(s):
                     continue
-                c = set_key(s)[0]
-                if c in seen:
-                    continue  # a copy within this task
-                seen.add(c)
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                need = cfg.need(len(s))
-                k = min(len(s), len(s) - need + min(cfg.most_matches, need))
-                order = (counts.value[(s >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(48)) | (mix64(s) >> np.uint64(16))
-                at = np.argpartition(order, k - 1)[:k] if k < len(s) else np.arange(k)
-                at = at[np.argsort(order[at], kind="stable")]
-                out.append((s[at], c, len(s)))
-            n = [len(x[0]) for x in out]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([x[0] for x in out]).view(np.int64) if out else [], pa.int64()), pa.array(np.repeat([x[1] for x in out], n) if out else [], pa.int64()), pa.array(np.repeat([x[2] for x in out], n) if out else [], pa.int32()), pa.array(np.concatenate([np.arange(k) for k in n]) if out else [], pa.int32())],
-                names=["t", "c", "n", "pos"],
-            )
-
-    return docs.select("text").mapInArrow(run, "t long, c long, n int, pos int")
-
-
-def _close(a: str, b: str, cfg: JoinConfig):
-    """The sizes allow the similarity."""
-    return F.expr(f"100L * least({a}, {b}) >= {cfg.percent}L * greatest({a}, {b})")
-
-
-def _postings(docs: DataFrame, cfg: JoinConfig) -> DataFrame:
-    """t, c, n, l, cost: the prefixes that the documents chose, without tokens that one class alone has."""
-    counts = docs.sparkSession.sparkContext.broadcast(token_counts(docs, cfg))
-    rows = prefix_tokens(docs, counts, cfg)
-    often = cut(rows.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1"))
-    live = cut(rows.join(often, "t").groupBy("t", "c").agg(F.first("n").alias("n"), F.min("pos").alias("pos"), F.first("df").alias("df")))
-    need = F.expr(f"(n * {cfg.percent}L + 99) div 100")
-    base = F.col("n") - need
-    sums = [F.sum(F.when(F.col("pos") < base + k, F.col("df") - 1).otherwise(0)).alias(f"s{k}") for k in range(1, cfg.most_matches + 1)]
-    per = live.groupBy("c", "n").agg(*sums)
-    options = F.array(*[F.struct((F.col(f"s{k}") * F.lit(1.0 + cfg.verify_cost * cfg.chance ** (k - 1))).alias("cost"), F.lit(k).alias("l")) for k in range(1, cfg.most_matches + 1)])
-    per = per.withColumn("best", F.array_min(F.filter(options, lambda o: o["l"] <= F.greatest(F.lit(1), need))))
-    per = cut(per.select("c", F.col("best.l").alias("l"), F.col("s1").alias("cost")))
-    out = live.join(per, "c").filter(F.col("pos") < base + F.col("l")).select("t", "c", "n", "l", "cost")
-    return cut(out)
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, holders: DataFrame, cfg: JoinConfig) -> DataFrame:
+                levels = counts.value[slot(s, bits)]
+                at, matches, shared = _prefix(s, levels, noise, cfg)
+                live = np.flatnonzero(levels[at] > 1)
+                if len(live):
+                    for col, v in zip((c, n, l, cost, t, pos), (names.of(s), len(s), matches, shared, s[at[live]].view(np.int64), live.astype(np.int32))):
+                        col.append(v)
+            offs = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in t])]), pa.int32())
+            tokens = pa.StructArray.from_arrays([pa.array(np.concatenate(t) if t else [], pa.int64()), pa.array(np.concatenate(pos) if pos else [], pa.int32())], names=["t", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(l, pa.int32()), pa.array(cost, pa.float64()), pa.ListArray.from_arrays(offs, tokens)], names=["c", "n", "l", "cost", "tokens"])
+
+    return docs.select("text").mapInArrow(run, "c long, n int, l int, cost double, tokens array<struct<t:long,pos:int>>")
+
+
+def _may_link(a: tuple[str, str], b: tuple[str, str], cfg: JoinConfig):
+    """The sizes, and the places of the shared token, allow the similarity. a, b: the columns of size and place."""
+    (n, i), (m, j) = a, b
+    bound = f"(least({i}, {j}) + least({n} - {i}, {m} - {j}))"
+    return F.expr(f"100L * least({n}, {m}) >= {cfg.percent}L * greatest({n}, {m}) and {100 + cfg.percent}L * {bound} >= {cfg.percent}L * ({n} + {m})")
+
+
+def _postings(docs: DataFrame, total: int, names: Names, cfg: JoinConfig) -> DataFrame:
+    """t, c, n, l, cost, pos: the prefixes that the sets chose."""
+    counts, bits = token_counts(docs, cfg, total)
+    held = docs.sparkSession.sparkContext.broadcast(counts)
+    rows = prefixes(docs, held, bits, total / (1 << bits), names, cfg).dropDuplicates(["c"])
+    out = stored(rows.select("c", "n", "l", "cost", F.explode("tokens").alias("x")).select("x.t", "c", "n", "l", "cost", "x.pos"), "postings")
+    held.destroy()
+    return out
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, holders: DataFrame, names: Names, cfg: JoinConfig) -> DataFrame:
     """The pairs (hub, c) whose sets reach the similarity. holders: c, doc_id of one document of each class."""
     weight = pairs.groupBy("hub").agg(F.sum("n").alias("n"))
     salts = cut(weight.select("hub", F.greatest(F.lit(1), F.ceil(F.col("n") * 8 / cfg.salt_bytes)).cast("int").alias("salts")))
@@ -216,9 +236,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, holders: DataFrame, cfg: JoinCo
         def rows():
             seen = set()
             for _, _, s in _each(batches, cfg.words):
-                if len(s) and (c := set_key(s)[0]) not in seen:
+                if len(s) and (c := names.of(s)) not in seen:  # a copy within this task
                     seen.add(c)
-                    if len(seen) > 1_000_000:
+                    if len(seen) > 100_000:
                         seen.clear()
                     yield c, s.tobytes()
 
@@ -247,62 +267,76 @@ def _verified(docs: DataFrame, pairs: DataFrame, holders: DataFrame, cfg: JoinCo
     return cut(sent.select("hub", "salt", "role", "c", "s").mapInArrow(compare, "a long, b long"))
 
 
-def links(docs: DataFrame, holders: DataFrame, cfg: JoinConfig) -> DataFrame:
-    """node, root over classes: components of the links between different sets."""
-    post = _postings(docs, cfg)
-    n_post = post.count()
-    found, comp = None, None
-    for r in range(cfg.star_rounds + 1):
-        if comp is None:
-            rows = post.withColumn("k", F.col("c"))
-        else:
-            rows = post.join(comp, post["c"] == comp["node"], "left").select(post["*"], F.coalesce("root", "c").alias("k"))
-        # the lists that still hold several components, their largest one and a hub
-        score = F.struct("cost", "c") if r == 0 else F.struct(F.xxhash64("c", F.lit(r)), "c")
-        parts = rows.groupBy("t", "k").agg(F.count("*").alias("m"), F.max(F.struct(score.alias("s"), F.struct("c", "n", "k").alias("h"))).alias("h"))
-        lists = parts.groupBy("t").agg(F.max(F.struct("m", "k")).alias("main"), F.sum("m").alias("all"), F.count("*").alias("ks"), F.max("h").alias("h")).filter("ks > 1")
-        lists = cut(lists.select("t", F.col("main.k").alias("main"), F.col("main.m").alias("m"), "all", F.col("h.h.c").alias("hub"), F.col("h.h.n").alias("hub_n"), F.col("h.h.k").alias("hub_k")))
-        left = lists.agg(F.sum((F.col("all") - F.col("m")).cast("double") * F.col("all"))).first()[0] or 0.0
-        if r == cfg.star_rounds or left <= cfg.exact_share * n_post:
+def _lists(rows: DataFrame, r: int) -> DataFrame:
+    """Of each list that holds several components (k): its largest one, its size and a hub. Map-side sums come before the shuffles."""
+    score = F.struct("cost", "c") if r == 0 else F.struct(F.xxhash64("c", F.lit(r)), "c")
+    parts = rows.groupBy("t", "k").agg(F.count("*").alias("m"), F.max(F.struct(score.alias("s"), F.struct("c", "n", "l", "pos", "k").alias("h"))).alias("h"))
+    lists = parts.groupBy("t").agg(F.max(F.struct("m", "k")).alias("main"), F.sum("m").alias("all"), F.count("*").alias("ks"), F.max("h").alias("h")).filter("ks > 1")
+    return lists.select("t", F.col("main.k").alias("main"), F.col("main.m").alias("m"), "all", *[F.col(f"h.h.{x}").alias(f"hub_{x}" if x != "c" else "hub") for x in ("c", "n", "l", "pos", "k")])
+
+
+def links(docs: DataFrame, holders: DataFrame, total: int, names: Names, cfg: JoinConfig) -> DataFrame:
+    """node, root over classes: components of the links between different sets. total: the number of tokens of all sets."""
+    post = _postings(docs, total, names, cfg)
+    rows, comp, found, before = post.withColumn("k", F.col("c")), None, None, None
+    r = dull = 0
+    while True:
+        lists = cut(_lists(rows, r))
+        size = lists.agg(F.sum((F.col("all") - F.col("m")).cast("double") * F.col("all")).alias("pairs"), F.sum("all").alias("n")).first()
+        left = size["pairs"] or 0.0
+        if not left:
+            break
+        live = stored(rows.join(lists, "t"), "postings")
+        discard(post)
+        post = live
+        n_post = size["n"] if before is None else n_post
+        dull = dull + 1 if before is not None and left > (1 - cfg.fall) * before else 0
+        before = left
+        if dull > 1 or left <= cfg.exact_share * n_post:
             break
-        near = rows.join(lists, "t").filter((F.col("hub_k") != F.col("k")) & _close("n", "hub_n", cfg)).groupBy("c", "n", "hub").agg(F.count("*").alias("m"))
-        pairs = cut(near.groupBy("c", "n").agg(F.max_by("hub", F.struct("m", "hub")).alias("hub")))
-        if pairs.isEmpty():
-            continue
-        new = _verified(docs, pairs, holders, cfg)
-        found = new if found is None else found.unionByName(new)
-        comp = components(found)
-        found = comp.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    if not left:
-        return comp if comp is not None else post.select(F.col("c").alias("node"), F.col("c").alias("root")).limit(0)
-    rows = cut(rows.join(lists.select("t", "main"), "t"))
-    few = rows.filter("k <> main").select("t", F.col("c").alias("x"), F.col("n").alias("xn"), F.col("l").alias("xl"), F.col("k").alias("xk"))
-    pairs = few.join(rows, "t").filter((F.col("xk") != F.col("k")) & _close("n", "xn", cfg) & ((F.col("k") == F.col("main")) | (F.col("x") < F.col("c"))))
-    pairs = pairs.groupBy(F.least("x", "c").alias("a"), F.greatest("x", "c").alias("b")).agg(F.count("*").alias("m"), F.min(F.least("l", "xl")).alias("l"), F.max(F.when(F.col("x") < F.col("c"), F.col("n")).otherwise(F.col("xn"))).alias("n"))
-    pairs = cut(pairs.filter("m >= l").select(F.col("a").alias("hub"), F.col("b").alias("c"), "n"))
-    if not pairs.isEmpty():
-        new = _verified(docs, pairs, holders, cfg)
-        comp = components(new if found is None else found.unionByName(new))
-    return comp if comp is not None else post.select(F.col("c").alias("node"), F.col("c").alias("root")).limit(0)
+        near = live.filter((F.col("hub_k") != F.col("k")) & _may_link(("n", "pos"), ("hub_n", "hub_pos"), cfg)).groupBy("c", "n", "hub").agg(F.count("*").alias("m"), F.min(F.least("l", "hub_l")).alias("l"))
+        pairs = cut(near.filter("m >= l").groupBy("c", "n").agg(F.max_by("hub", F.struct("m", "hub")).alias("hub")))
+        if not pairs.isEmpty():
+            new = _verified(docs, pairs, holders, names, cfg)
+            comp = components(new if found is None else found.unionByName(new))
+            found = comp.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        rows = live.select("t", "c", "n", "l", "cost", "pos")
+        rows = rows.withColumn("k", F.col("c")) if comp is None else rows.join(comp, rows["c"] == comp["node"], "left").select(rows["*"], F.coalesce("root", "c").alias("k"))
+        r += 1
+    if left:
+        few = live.filter("k <> main").select("t", F.col("c").alias("x"), F.col("n").alias("xn"), F.col("l").alias("xl"), F.col("pos").alias("xpos"), F.col("k").alias("xk"))
+        pairs = few.join(live.select("t", "c", "n", "l", "pos", "k", "main"), "t").filter((F.col("xk") != F.col("k")) & _may_link(("n", "pos"), ("xn", "xpos"), cfg) & ((F.col("k") == F.col("main")) | (F.col("x") < F.col("c"))))
+        pairs = pairs.groupBy(F.least("x", "c").alias("a"), F.greatest("x", "c").alias("b")).agg(F.count("*").alias("m"), F.min(F.least("l", "xl")).alias("l"), F.max(F.when(F.col("x") < F.col("c"), F.col("n")).otherwise(F.col("xn"))).alias("n"))
+        pairs = cut(pairs.filter("m >= l").select(F.col("a").alias("hub"), F.col("b").alias("c"), "n"))
+        if not pairs.isEmpty():
+            new = _verified(docs, pairs, holders, names, cfg)
+            comp = components(new if found is None else found.unionByName(new))
+    if comp is None:
+        comp = cut(post.select(F.col("c").alias("node"), F.col("c").alias("root")).limit(0))
+    discard(post)
+    return comp
 
 
 def join_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", cfg: JoinConfig = JoinConfig()) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), text_hash."""
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    keys = cut(set_keys(docs, cfg))
-    classes = keys.filter("n > 0").groupBy("c1").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("m"))
-    classes = cut(classes.withColumnRenamed("c1", "c"))
+    docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    keys = stored(set_keys(docs, cfg), "keys")
+    classes = cut(keys.filter("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("m"), F.max("n").alias("n")))
+    names = _names(classes, cfg)
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    classes = _named(classes, names).select("c", "c1", "c2", "doc_id", "m")
     # copies of a class: all but its smallest doc_id need no work
-    copies = cut(keys.filter("n > 0").join(classes.filter("m > 1").select(F.col("c").alias("c1"), F.col("doc_id").alias("first")), "c1").filter(F.col("doc_id") != F.col("first")).select(F.col("doc_id").alias("copy_id"), F.col("h").alias("copy_h")).distinct())
+    first = classes.filter("m > 1").select("c1", "c2", F.col("doc_id").alias("first"))
+    copies = cut(keys.filter("n > 0").join(first, ["c1", "c2"]).filter(F.col("doc_id") != F.col("first")).select(F.col("doc_id").alias("copy_id"), F.col("h").alias("copy_h")).distinct())
     alone = docs
     if 0 < copies.count() <= cfg.broadcast_rows:
         # by id and text, as an id may stand on other texts too
         alone = docs.join(F.broadcast(copies), (F.col("doc_id") == F.col("copy_id")) & (F.xxhash64("text") == F.col("copy_h")), "left_anti")
-    comp = links(alone, classes.select("c", "doc_id"), cfg)
-    least = classes.join(comp, classes["c"] == comp["node"], "left").select("c", F.coalesce("root", "c").alias("root"), "doc_id", "m")
+    comp = links(alone, classes.select("c", "doc_id"), total, names, cfg)
+    least = classes.join(comp, classes["c"] == comp["node"], "left").select("c1", "c2", F.coalesce("root", "c").alias("root"), "doc_id", "m")
     roots = cut(least.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("m").alias("members")).filter("members > 1"))
-    named = cut(least.join(roots, "root").select(F.col("c").alias("c1"), "component_id"))
-    return keys.join(named, "c1", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("h").alias("text_hash"))
+    named = cut(least.join(roots, "root").select("c1", "c2", "component_id"))
+    return keys.join(named, ["c1", "c2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("h").alias("text_hash"))
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", cfg: JoinConfig = JoinConfig()) -> DataFrame:
