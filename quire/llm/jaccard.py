@@ -10,9 +10,10 @@ min(i, j) + 1 + min(x - i, y - j) - 1; where that cannot reach the threshold, th
 Only components are wanted, so no list is expanded into all pairs. In rounds, the members of each list that holds several components
 are compared with one hub of the list (the one whose prefix is shared most, then a hashed one), one hub to a document, if their
 prefixes share enough tokens; verified links are joined into components, and only lists that still hold several are kept. Rounds go on
-while what is left falls. What remains is exact: in each list left, the members outside the list's largest component are paired with
-the members of other components; the pairs with enough shared tokens are verified. Many sets that nearly reach the threshold, all of
-them with all, cost the square of their number there.
+while what is left falls. What remains is exact: in each list left, the members outside the list's largest component are held against
+the members of other components, in blocks of `block`, without a row for a pair: each set has a parity bitmap, and bitmaps differ in no
+more bits than the sets in tokens, so almost all pairs fail by a few machine words. Those that do not, and that share enough prefix
+tokens, are verified. Many sets that nearly reach the threshold, all of them with all, cost the square of their number in words there.
 
 Sets are compared whole and exactly: one 64-bit hash stands for a shingle, two for a set. Where two sets share the first hash of the
 two, they get new names. Hub sets are sent once to each salt of their members, whose number follows their bytes.
@@ -25,6 +26,7 @@ component; a null doc_id takes part but never names a component unless all of th
 from __future__ import annotations
 
 import hashlib
+import logging
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,14 +39,15 @@ from .components import components
 from .sketch import LEVELS, bits_for, count_sketch, slot
 
 _CHUNK = 1 << 20
+_LOG = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
 class JoinConfig:
     """words to a shingle; percent: the similarity that links; sketch_bits: log2 of the most counters that order tokens.
     verify_cost: of sending a set, against a posting; chance: that a pair which shares k prefix tokens by accident shares one more.
-    exact_share: pairs left to a posting, below which the exact step begins; fall: the share of them that a round must do away with,
-    else the exact step begins, too. name_bits: bits of a class name (fewer in tests of clashing names)."""
+    few_pairs: pairs left to a posting, below which the exact step begins at once; some_pairs: the same after a round; fall: the share
+    of them that a round must do away with, else the exact step begins, too. block: sets to a block there. name_bits: bits of a class name (fewer in tests of clashing names)."""
 
     words: int = 3
     percent: int = 90
@@ -54,13 +57,19 @@ class JoinConfig:
     sketch_bits: int = 26
     salt_bytes: int = 8 << 20
     broadcast_rows: int = 500_000
-    exact_share: float = 4.0
+    few_pairs: float = 4.0
+    some_pairs: float = 256.0
     fall: float = 0.1
+    block: int = 2048
     name_bits: int = 64
 
     def need(self, n: int) -> int:
         return -(-n * self.percent // 100)
 
+    def apart(self, n):
+        """How many tokens two sets of n tokens in all may not share, at most."""
+        return (100 - self.percent) * n // (100 + self.percent)
+
 
 def shingle_sets(raw: np.ndarray, offs: np.ndarray, width: int):
     """Yields the sorted distinct shingle hashes of each row."""
@@ -161,6 +170,22 @@ def token_counts(docs: DataFrame, cfg: JoinConfig, total: int) -> tuple[np.ndarr
     return count_sketch(docs.select("text"), lambda batches: (s for _, _, s in _each(batches, cfg.words)), bits), bits
 
 
+def _bitmap(s: np.ndarray, cfg: JoinConfig) -> np.ndarray:
+    """The parity of the tokens of each of 2^b ranges of hashes, in words; at least four times as many as tokens may differ."""
+    bits = 256
+    while bits < 4 * cfg.apart(2 * len(s)):
+        bits *= 2
+    odd = np.bincount((mix64(s ^ np.uint64(0xA54FF53A5F1D36F1)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _folded(rows: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps as they are with fewer words."""
+    while rows.shape[1] > width:
+        rows = rows[:, : rows.shape[1] // 2] ^ rows[:, rows.shape[1] // 2 :]
+    return rows
+
+
 def _prefix(s: np.ndarray, levels: np.ndarray, noise: float, cfg: JoinConfig) -> tuple[np.ndarray, int, float]:
     """The places in `s` of the prefix it takes, in the global order; its l, and the cost of the shortest prefix."""
     need = cfg.need(len(s))
@@ -182,11 +207,11 @@ def _prefix(s: np.ndarray, levels: np.ndarray, noise: float, cfg: JoinConfig) ->
 
 
 def prefixes(docs: DataFrame, counts, bits: int, noise: float, names: Names, cfg: JoinConfig) -> DataFrame:
-    """c, n, l, cost, tokens (t, pos) of the prefix of every set, without tokens of one set alone. `counts`: the broadcast sketch."""
+    """c, n, l, cost, bitmap, tokens (t, pos) of the prefix of every set, without tokens of one set alone. `counts`: the broadcast sketch."""
 
     def run(batches):
         for b in batches:
-            c, n, l, cost, t, pos = [], [], [], [], [], []  # noqa: E741
+            c, n, l, cost, bitmap, t, pos = [], [], [], [], [], [], []  # noqa: E741
             for _, _, s in _each([b], cfg.words):
                 if not len(s):
                     continue
@@ -194,13 +219,13 @@ def prefixes(docs: DataFrame, counts, bits: int, noise: float, names: Names, cfg
                 at, matches, shared = _prefix(s, levels, noise, cfg)
                 live = np.flatnonzero(levels[at] > 1)
                 if len(live):
-                    for col, v in zip((c, n, l, cost, t, pos), (names.of(s), len(s), matches, shared, s[at[live]].view(np.int64), live.astype(np.int32))):
+                    for col, v in zip((c, n, l, cost, bitmap, t, pos), (names.of(s), len(s), matches, shared, _bitmap(s, cfg).tobytes(), s[at[live]].view(np.int64), live.astype(np.int32))):
                         col.append(v)
             offs = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in t])]), pa.int32())
             tokens = pa.StructArray.from_arrays([pa.array(np.concatenate(t) if t else [], pa.int64()), pa.array(np.concatenate(pos) if pos else [], pa.int32())], names=["t", "pos"])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(l, pa.int32()), pa.array(cost, pa.float64()), pa.ListArray.from_arrays(offs, tokens)], names=["c", "n", "l", "cost", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(l, pa.int32()), pa.array(cost, pa.float64()), pa.array(bitmap, pa.binary()), pa.ListArray.from_arrays(offs, tokens)], names=["c", "n", "l", "cost", "bitmap", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "c long, n int, l int, cost double, tokens array<struct<t:long,pos:int>>")
+    return docs.select("text").mapInArrow(run, "c long, n int, l int, cost double, bitmap binary, tokens array<struct<t:long,pos:int>>")
 
 
 def _may_link(a: tuple[str, str], b: tuple[str, str], cfg: JoinConfig):
@@ -210,16 +235,78 @@ def _may_link(a: tuple[str, str], b: tuple[str, str], cfg: JoinConfig):
     return F.expr(f"100L * least({n}, {m}) >= {cfg.percent}L * greatest({n}, {m}) and {100 + cfg.percent}L * {bound} >= {cfg.percent}L * ({n} + {m})")
 
 
-def _postings(docs: DataFrame, total: int, names: Names, cfg: JoinConfig) -> DataFrame:
-    """t, c, n, l, cost, pos: the prefixes that the sets chose."""
+def _prefixes(docs: DataFrame, total: int, names: Names, cfg: JoinConfig) -> DataFrame:
+    """`prefixes` of the classes, stored."""
     counts, bits = token_counts(docs, cfg, total)
     held = docs.sparkSession.sparkContext.broadcast(counts)
-    rows = prefixes(docs, held, bits, total / (1 << bits), names, cfg).dropDuplicates(["c"])
-    out = stored(rows.select("c", "n", "l", "cost", F.explode("tokens").alias("x")).select("x.t", "c", "n", "l", "cost", "x.pos"), "postings")
+    out = stored(prefixes(docs, held, bits, total / (1 << bits), names, cfg).dropDuplicates(["c"]), "prefixes")
     held.destroy()
     return out
 
 
+def _near(xs: list, ys: list, cfg: JoinConfig):
+    """(x, y) of the pairs of rows (c, k, n, l, bitmap, tokens) in different components that may link and share this token first.
+    A pair is named once: ys in the list's main component are not among xs, others are if x < y."""
+    if not xs or not ys:
+        return
+    tx, ty = ([np.frombuffer(r["bitmap"], np.uint64) for r in rows] for rows in (xs, ys))
+    for wx in sorted({len(b) for b in tx}):
+        for wy in sorted({len(b) for b in ty}):
+            w, ix, iy = min(wx, wy), [i for i, b in enumerate(tx) if len(b) == wx], [i for i, b in enumerate(ty) if len(b) == wy]
+            mx, my = _folded(np.stack([tx[i] for i in ix]), w), _folded(np.stack([ty[i] for i in iy]), w)
+            (nx, kx, cx), (ny, ky, cy) = (([np.array([rows[i][f] for i in at], np.int64) for f in ("n", "k", "c")]) for rows, at in ((xs, ix), (ys, iy)))
+            main = np.array([ys[i]["k"] == ys[i]["main"] for i in iy])
+            step = max(1, (1 << 21) // (w * len(iy)))
+            for i in range(0, len(ix), step):
+                j = slice(i, i + step)
+                differ = np.bitwise_count(mx[j, None, :] ^ my[None, :, :]).sum(axis=2, dtype=np.int64)
+                n = nx[j, None] + ny[None, :]
+                fits = (differ <= cfg.apart(n)) & (100 * np.minimum(nx[j, None], ny) >= cfg.percent * np.maximum(nx[j, None], ny))
+                fits &= (kx[j, None] != ky) & (main | (cx[j, None] < cy))
+                for a, b in np.argwhere(fits):
+                    yield xs[ix[i + a]], ys[iy[b]]
+
+
+def _candidates(live: DataFrame, sets: DataFrame, cfg: JoinConfig) -> DataFrame:
+    """hub, c, n: the pairs across components that lists, bitmaps and prefixes allow. sets: `prefixes` of the classes."""
+    need = F.expr(f"(n * {cfg.percent}L + 99) div 100")
+    rows = live.filter(F.col("pos") <= F.col("n") - need)  # sets that link share a token of their shortest prefixes
+    rows = rows.join(sets.select("c", "bitmap", F.col("tokens.t").alias("tokens")), "c")
+    blocks = rows.withColumns({"xs": F.ceil((F.col("all") - F.col("m")) / cfg.block), "ys": F.ceil(F.col("all") / cfg.block)})
+    keep = ["t", "c", "k", "n", "l", "main", "bitmap", "tokens"]
+    of = lambda n: F.pmod(F.xxhash64("c", F.lit("block")), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    few = blocks.filter("k <> main").select(*keep, of("xs").alias("i"), every("ys").alias("j"), F.lit(0).alias("role"))
+    rest = blocks.select(*keep, every("xs").alias("i"), of("ys").alias("j"), F.lit(1).alias("role"))
+
+    def compare(batches):
+        def found():
+            key, xs, ys = None, [], []
+            for b in batches:
+                for r in b.to_pylist():
+                    if (r["t"], r["i"], r["j"]) != key:
+                        yield from pairs(key, xs, ys)
+                        key, xs, ys = (r["t"], r["i"], r["j"]), [], []
+                    (ys if r["role"] else xs).append(r)
+                    if len(ys) >= cfg.block:
+                        yield from pairs(key, xs, ys)
+                        ys = []
+            yield from pairs(key, xs, ys)
+
+        def pairs(key, xs, ys):
+            for x, y in _near(xs, ys, cfg):
+                other = set(y["tokens"])
+                both = [t for t in x["tokens"] if t in other]
+                if both[0] == key[0] and len(both) >= min(x["l"], y["l"]):
+                    a, b = sorted(((x["c"], x["n"]), (y["c"], y["n"])))
+                    yield a[0], b[0], b[1]
+
+        yield from _batches(found(), [pa.int64(), pa.int64(), pa.int32()], ["hub", "c", "n"])
+
+    both = few.unionByName(rest).repartition("t", "i", "j").sortWithinPartitions("t", "i", "j", "role")
+    return both.mapInArrow(compare, "hub long, c long, n int").distinct()
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, holders: DataFrame, names: Names, cfg: JoinConfig) -> DataFrame:
     """The pairs (hub, c) whose sets reach the similarity. holders: c, doc_id of one document of each class."""
     weight = pairs.groupBy("hub").agg(F.sum("n").alias("n"))
@@ -277,23 +364,21 @@ def _lists(rows: DataFrame, r: int) -> DataFrame:
 
 def links(docs: DataFrame, holders: DataFrame, total: int, names: Names, cfg: JoinConfig) -> DataFrame:
     """node, root over classes: components of the links between different sets. total: the number of tokens of all sets."""
-    post = _postings(docs, total, names, cfg)
-    rows, comp, found, before = post.withColumn("k", F.col("c")), None, None, None
-    r = dull = 0
+    sets = _prefixes(docs, total, names, cfg)
+    rows = sets.select("c", "n", "l", "cost", F.explode("tokens").alias("x")).select("x.t", "c", "n", "l", "cost", "x.pos", F.col("c").alias("k"))
+    live = comp = found = None
+    r, before = 0, float("inf")
     while True:
         lists = cut(_lists(rows, r))
         size = lists.agg(F.sum((F.col("all") - F.col("m")).cast("double") * F.col("all")).alias("pairs"), F.sum("all").alias("n")).first()
-        left = size["pairs"] or 0.0
-        if not left:
+        left, n = size["pairs"] or 0.0, size["n"] or 0
+        _LOG.info("round %d: %d postings in lists of several components, %.0f pairs across at most", r, n, left)
+        old, live = live, stored(rows.join(lists, "t"), "postings")
+        if old is not None:
+            discard(old)
+        if left <= (cfg.some_pairs if r else cfg.few_pairs) * n or left > (1 - cfg.fall) * before:
             break
-        live = stored(rows.join(lists, "t"), "postings")
-        discard(post)
-        post = live
-        n_post = size["n"] if before is None else n_post
-        dull = dull + 1 if before is not None and left > (1 - cfg.fall) * before else 0
         before = left
-        if dull > 1 or left <= cfg.exact_share * n_post:
-            break
         near = live.filter((F.col("hub_k") != F.col("k")) & _may_link(("n", "pos"), ("hub_n", "hub_pos"), cfg)).groupBy("c", "n", "hub").agg(F.count("*").alias("m"), F.min(F.least("l", "hub_l")).alias("l"))
         pairs = cut(near.filter("m >= l").groupBy("c", "n").agg(F.max_by("hub", F.struct("m", "hub")).alias("hub")))
         if not pairs.isEmpty():
@@ -304,16 +389,14 @@ def links(docs: DataFrame, holders: DataFrame, total: int, names: Names, cfg: Jo
         rows = rows.withColumn("k", F.col("c")) if comp is None else rows.join(comp, rows["c"] == comp["node"], "left").select(rows["*"], F.coalesce("root", "c").alias("k"))
         r += 1
     if left:
-        few = live.filter("k <> main").select("t", F.col("c").alias("x"), F.col("n").alias("xn"), F.col("l").alias("xl"), F.col("pos").alias("xpos"), F.col("k").alias("xk"))
-        pairs = few.join(live.select("t", "c", "n", "l", "pos", "k", "main"), "t").filter((F.col("xk") != F.col("k")) & _may_link(("n", "pos"), ("xn", "xpos"), cfg) & ((F.col("k") == F.col("main")) | (F.col("x") < F.col("c"))))
-        pairs = pairs.groupBy(F.least("x", "c").alias("a"), F.greatest("x", "c").alias("b")).agg(F.count("*").alias("m"), F.min(F.least("l", "xl")).alias("l"), F.max(F.when(F.col("x") < F.col("c"), F.col("n")).otherwise(F.col("xn"))).alias("n"))
-        pairs = cut(pairs.filter("m >= l").select(F.col("a").alias("hub"), F.col("b").alias("c"), "n"))
+        pairs = cut(_candidates(live, sets, cfg))
         if not pairs.isEmpty():
             new = _verified(docs, pairs, holders, names, cfg)
             comp = components(new if found is None else found.unionByName(new))
     if comp is None:
-        comp = cut(post.select(F.col("c").alias("node"), F.col("c").alias("root")).limit(0))
-    discard(post)
+        comp = cut(sets.select(F.col("c").alias("node"), F.col("c").alias("root")).limit(0))
+    discard(live)
+    discard(sets)
     return comp
 
 

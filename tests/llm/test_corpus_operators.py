@@ -51,11 +51,11 @@ def brute_components(rows, width, percent):
     return Counter((d, len(s), least[find(i)]) for i, (d, s) in enumerate(sets))
 
 
-@pytest.mark.parametrize("width,percent,share,names,sketch", [(3, 90, 1e9, 64, 26), (3, 90, 0.0, 64, 14), (5, 80, 0.0, 4, 26), (1, 50, 4.0, 64, 14)])
-def test_jaccard_components(spark, width, percent, share, names, sketch):
+@pytest.mark.parametrize("width,percent,few,names,sketch,block", [(3, 90, 1e9, 64, 26, 7), (3, 90, 0.0, 64, 14, 2048), (5, 80, 0.0, 4, 26, 5), (1, 50, 4.0, 64, 14, 2048)])
+def test_jaccard_components(spark, width, percent, few, names, sketch, block):
     rows = _near_copies() + [(7, "another text on an id that has one"), (7, "another text on an id that has ONE more")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("clash")).repartition(5)
-    cfg = jaccard.JoinConfig(words=width, percent=percent, exact_share=share, salt_bytes=4096, name_bits=names, sketch_bits=sketch)
+    cfg = jaccard.JoinConfig(words=width, percent=percent, few_pairs=few, some_pairs=few, salt_bytes=4096, name_bits=names, sketch_bits=sketch, block=block)
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join_components(df, cfg=cfg).collect())
     assert got == brute_components(rows, width, percent)
 
