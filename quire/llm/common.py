@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -21,7 +23,7 @@ _RNG = np.random.Generator(np.random.PCG64(20240229))
 #: A random 64-bit value per byte, so that word hashes have no byte-level structure.
 BYTE_KEYS = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 PRIME = np.uint64(0x9E3779B97F4A7C15)
-_BLOCK = 2 << 20
+_BLOCK = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,6 +62,32 @@ def discard(df: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def lean(fn):
+    """A function of batches that gives the memory it used back when it ends: idle Python workers stay alive beside the next stages."""
+
+    def run(batches):
+        yield from fn(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
+def batched(rows, kinds: list, names: list[str], most: int = 50_000, size=None, most_size: int = 4 << 20):
+    """Record batches from tuples, cut by rows and by what `size` sums."""
+    held, bytes_ = [], 0
+    for x in rows:
+        held.append(x)
+        bytes_ += size(x) if size else 0
+        if len(held) >= most or bytes_ >= most_size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
+            held, bytes_ = [], 0
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held) if held else [()] * len(kinds), kinds)], names=names)
+
+
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array and the n+1 offsets of its rows; a null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, discard, grams, mix64, slices, stored, text_bytes, word_hashes, words
+from .common import LOWER, batched, cut, discard, grams, lean, mix64, slices, stored, text_bytes, word_hashes, words
 from .components import components
 from .sketch import LEVELS, bits_for, count_sketch, slot
 
@@ -104,18 +104,6 @@ def _each(batches, width: int):
                 yield b, r, s
 
 
-def _batches(rows, kinds: list, names: list[str], most: int = 50_000, size=None, most_size: int = 4 << 20):
-    """Record batches from tuples, cut by rows and by what `size` sums."""
-    held, bytes_ = [], 0
-    for x in rows:
-        held.append(x)
-        bytes_ += size(x) if size else 0
-        if len(held) >= most or bytes_ >= most_size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
-            held, bytes_ = [], 0
-    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held) if held else [()] * len(kinds), kinds)], names=names)
-
-
 def set_keys(docs: DataFrame, cfg: JoinConfig) -> DataFrame:
     """doc_id, h, n, c1, c2 of every row: hash of the text, size and key of its set."""
     id_type = dict(docs.dtypes)["doc_id"]
@@ -127,7 +115,7 @@ def set_keys(docs: DataFrame, cfg: JoinConfig) -> DataFrame:
             c1 = pa.array(np.array(cols[1], np.int64) >> (64 - cfg.name_bits))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(cols[0], pa.int64()), c1, pa.array(cols[2], pa.int64())], names=["doc_id", "h", "n", "c1", "c2"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"doc_id {id_type}, h long, n long, c1 long, c2 long")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(lean(run), f"doc_id {id_type}, h long, n long, c1 long, c2 long")
 
 
 @dataclass(frozen=True)
@@ -225,7 +213,7 @@ def prefixes(docs: DataFrame, counts, bits: int, noise: float, names: Names, cfg
             tokens = pa.StructArray.from_arrays([pa.array(np.concatenate(t) if t else [], pa.int64()), pa.array(np.concatenate(pos) if pos else [], pa.int32())], names=["t", "pos"])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(l, pa.int32()), pa.array(cost, pa.float64()), pa.array(bitmap, pa.binary()), pa.ListArray.from_arrays(offs, tokens)], names=["c", "n", "l", "cost", "bitmap", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "c long, n int, l int, cost double, bitmap binary, tokens array<struct<t:long,pos:int>>")
+    return docs.select("text").mapInArrow(lean(run), "c long, n int, l int, cost double, bitmap binary, tokens array<struct<t:long,pos:int>>")
 
 
 def _may_link(a: tuple[str, str], b: tuple[str, str], cfg: JoinConfig):
@@ -301,10 +289,10 @@ def _candidates(live: DataFrame, sets: DataFrame, cfg: JoinConfig) -> DataFrame:
                     a, b = sorted(((x["c"], x["n"]), (y["c"], y["n"])))
                     yield a[0], b[0], b[1]
 
-        yield from _batches(found(), [pa.int64(), pa.int64(), pa.int32()], ["hub", "c", "n"])
+        yield from batched(found(), [pa.int64(), pa.int64(), pa.int32()], ["hub", "c", "n"])
 
     both = few.unionByName(rest).repartition("t", "i", "j").sortWithinPartitions("t", "i", "j", "role")
-    return both.mapInArrow(compare, "hub long, c long, n int").distinct()
+    return both.mapInArrow(lean(compare), "hub long, c long, n int").distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, holders: DataFrame, names: Names, cfg: JoinConfig) -> DataFrame:
@@ -329,7 +317,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, holders: DataFrame, names: Name
                         seen.clear()
                     yield c, s.tobytes()
 
-        yield from _batches(rows(), [pa.int64(), pa.binary()], ["c", "s"], size=lambda x: len(x[1]))
+        yield from batched(rows(), [pa.int64(), pa.binary()], ["c", "s"], size=lambda x: len(x[1]))
 
     def compare(batches):
         def rows():
@@ -348,10 +336,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, holders: DataFrame, names: Name
                     if 100 * both >= cfg.percent * (len(own) + len(other) - both):
                         yield h, c
 
-        yield from _batches(rows(), [pa.int64(), pa.int64()], ["a", "b"])
+        yield from batched(rows(), [pa.int64(), pa.int64()], ["a", "b"])
 
-    sent = texts.mapInArrow(sets, "c long, s binary").join(roles, "c").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
-    return cut(sent.select("hub", "salt", "role", "c", "s").mapInArrow(compare, "a long, b long"))
+    sent = texts.mapInArrow(lean(sets), "c long, s binary").join(roles, "c").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
+    return cut(sent.select("hub", "salt", "role", "c", "s").mapInArrow(lean(compare), "a long, b long"))
 
 
 def _lists(rows: DataFrame, r: int) -> DataFrame:

@@ -3,7 +3,10 @@
 Two equal strings of `length` bytes hold the same minimizer: the smallest hash among their k-grams (the leftmost, if it comes
 twice). So the suffixes to be compared are those that begin at a minimizer ("anchor") that is found more than once, and the
 array falls into groups of equal anchors, whose contexts (as far as a string of `length` bytes can reach) hold all that matters.
-Equal contexts are first counted as one class, wherever they stand, so a passage copied a million times is one class.
+Equal contexts are first counted as one class by 128-bit names, wherever they stand, so a passage copied a million times is one class.
+The bytes of a class are sent afterwards, only if its anchor has other classes, and only from the place that stands for the class:
+a count sketch of these places, of bounded size, tells each task which of its contexts those are (and, where it is crowded, some more,
+which are copies and are dropped). Anchors that a first sketch proves to be met once are never sent.
 
 Each group is one enhanced suffix array: its right contexts are sorted, the common-prefix lengths of neighbours scanned with a
 stack, and the intervals of that scan are the nodes of the common-prefix interval tree. Each interval is scanned again over its
@@ -28,7 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_KEYS, POWERS, PRIME, cut, mix64, slices, stored, text_bytes
+from .common import BYTE_KEYS, POWERS, PRIME, batched, cut, discard, lean, mix64, slices, stored, text_bytes
+from .sketch import bits_for, count_sketch, slot
 
 _CHUNK = 2 << 20
 _LOW = np.uint64((1 << 22) - 1)
@@ -37,12 +41,13 @@ _LOW = np.uint64((1 << 22) - 1)
 @dataclass(frozen=True)
 class RepeatConfig:
     """length: bytes of the shortest repeat. span: k-grams to a window (a power of two); k = length - span + 1.
-    hot: most classes of one array. broadcast_rows: most rows that a broadcast holds."""
+    hot: most classes of one array. broadcast_rows: most rows that a broadcast holds. sketch_bits: log2 of the most counters of a sketch."""
 
     length: int = 400
     span: int = 256
     hot: int = 512
     broadcast_rows: int = 500_000
+    sketch_bits: int = 26
 
     @property
     def k(self) -> int:
@@ -159,12 +164,109 @@ def _found(texts: DataFrame, cfg: RepeatConfig) -> DataFrame:
     return texts.select("text", "t1", "t2").mapInArrow(run, "h long, t1 long, t2 int, pos int")
 
 
+def _anchor_sketch(texts: DataFrame, cfg: RepeatConfig) -> tuple[np.ndarray, int]:
+    """Levels of the anchors' hashes, and log2 of their number."""
+    n = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = bits_for(16 * n // cfg.span, cfg.sketch_bits)  # about two anchors to `span` bytes, eight counters to an anchor
+
+    def hashes(batches):
+        for b in batches:
+            raw, offs = text_bytes(b.column("text"))
+            for i in range(len(offs) - 1):
+                yield anchors(raw[offs[i] : offs[i + 1]], cfg)[1]
+
+    return count_sketch(texts.select("text"), hashes, bits), bits
+
+
+def _places(batches, levels, bits: int, cfg: RepeatConfig):
+    """Of every text with anchors that may come again: its bytes, t1, t2, and of each such anchor h, pos, left, size and the name
+    (c1, c2) of its context."""
+    for b in batches:
+        raw, offs = text_bytes(b.column("text"))
+        for r, (t1, t2) in enumerate(zip(b.column("t1").to_pylist(), b.column("t2").to_pylist())):
+            body = raw[offs[r] : offs[r + 1]]
+            at, h = anchors(body, cfg)
+            live = levels.value[slot(h, bits)] > 1
+            if not live.any():
+                continue
+            at, h, body = at[live], h[live], body.tobytes()
+            left = np.minimum(cfg.span - 1, at)
+            size = np.minimum(at + cfg.length, len(body)) - at + left
+            names = [xxhash.xxh3_128_digest(body[a : a + n], x) for a, n, x in zip((at - left).tolist(), size.tolist(), (h ^ left.astype(np.uint64)).tolist())]
+            names = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+            yield body, t1, t2, h.view(np.int64), at, left, size, names[:, 0], names[:, 1]
+
+
+def _named(texts: DataFrame, levels, bits: int, cfg: RepeatConfig) -> DataFrame:
+    """h, left, size, c1, c2, t1, t2, pos of the anchors that may come again."""
+    names = ["h", "left", "size", "c1", "c2", "t1", "t2", "pos"]
+
+    def batch(held: list) -> pa.RecordBatch:
+        def col(i: int, kind) -> pa.Array:
+            return pa.array(np.concatenate([x[i] for x in held]).astype(kind) if held else np.zeros(0, kind))
+
+        n = [len(x[3]) for x in held]
+        whose = [pa.array(np.repeat(np.array([x[i] for x in held], kind), n) if held else np.zeros(0, kind)) for i, kind in ((1, np.int64), (2, np.int32))]
+        return pa.RecordBatch.from_arrays([col(3, np.int64), col(5, np.int32), col(6, np.int32), col(7, np.int64), col(8, np.int64), *whose, col(4, np.int32)], names=names)
+
+    @lean
+    def run(batches):
+        held, n = [], 0
+        for x in _places(batches, levels, bits, cfg):
+            held.append((None, *x[1:]))
+            n += len(x[3])
+            if n > 50_000:
+                yield batch(held)
+                held, n = [], 0
+        yield batch(held)
+
+    return texts.select("text", "t1", "t2").mapInArrow(run, "h long, left int, size int, c1 long, c2 long, t1 long, t2 int, pos int")
+
+
+def _mark(c1, c2, t1, t2, pos) -> np.ndarray:
+    """A hash of a place and the name of its context."""
+    with np.errstate(over="ignore"):
+        c1, c2, t1, t2, pos = (np.asarray(x, np.int64).view(np.uint64) for x in (c1, c2, t1, t2, pos))
+        return mix64(c1 + mix64(c2 + mix64(t1 + mix64((t2 << np.uint64(32)) ^ pos))))
+
+
+def _bodies(texts: DataFrame, firsts: DataFrame, levels, bits: int, cfg: RepeatConfig) -> DataFrame:
+    """h, c1, c2, left, ctx of the classes whose first place `firsts` has (c1, c2, t1, t2, pos); some may come more than once, and some
+    others, too. The texts are read where they are."""
+    whose = cut(firsts.select("t1", "t2").distinct())
+    if whose.count() <= cfg.broadcast_rows:
+        texts = texts.join(F.broadcast(whose.withColumn("t2", F.col("t2").cast("long"))), ["t1", "t2"], "left_semi")
+    mark_bits = bits_for(16 * firsts.count(), cfg.sketch_bits)
+    cols = ("c1", "c2", "t1", "t2", "pos")
+    marked = count_sketch(firsts.select(*cols), lambda batches: (_mark(*(b.column(c).to_numpy() for c in cols)) for b in batches), mark_bits)
+    marks = texts.sparkSession.sparkContext.broadcast(np.packbits(marked > 0))
+
+    @lean
+    def run(batches):
+        def rows():
+            seen: set = set()
+            for body, t1, t2, h, at, left, size, c1, c2 in _places(batches, levels, bits, cfg):
+                n = len(h)
+                where = slot(_mark(c1, c2, np.full(n, t1, np.int64), np.full(n, t2, np.int64), at), mark_bits)
+                for i in np.flatnonzero((marks.value[where >> 3] >> (7 - (where & 7)).astype(np.uint8)) & 1):
+                    if (key := (int(c1[i]), int(c2[i]))) not in seen:  # a task sends a class once
+                        seen.add(key)
+                        if len(seen) > 100_000:
+                            seen.clear()
+                        begin = int(at[i] - left[i])
+                        yield int(h[i]), *key, int(left[i]), body[begin : begin + int(size[i])]
+
+        yield from batched(rows(), [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()], ["h", "c1", "c2", "left", "ctx"], size=lambda x: len(x[4]))
+
+    return texts.select("text", "t1", "t2").mapInArrow(run, "h long, c1 long, c2 long, left int, ctx binary")
+
+
 _CONTEXT = "h long, left int, size int, c1 long, c2 long, t1 long, t2 int, pos int, ctx binary"
 
 
-def _contexts(rows: DataFrame, cfg: RepeatConfig, wide: bool = False) -> DataFrame:
+def _contexts(rows: DataFrame, cfg: RepeatConfig) -> DataFrame:
     """h, left, size, c1, c2 (name of the context), t1, t2, pos, ctx of every repeated anchor; a task sends the bytes of a context once.
-    wide: one byte more to the left and `length` more to the right, where a repeat under twice `length` ends."""
+    They have one byte more to the left and `length` more to the right, where a repeat under twice `length` ends."""
     names = [x.split()[0] for x in _CONTEXT.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
@@ -178,8 +280,8 @@ def _contexts(rows: DataFrame, cfg: RepeatConfig, wide: bool = False) -> DataFra
                 body = raw[offs[r] : offs[r + 1]].tobytes()
                 for a in at:
                     h, p = a["h"], a["pos"]
-                    left = min(cfg.span - 1 + wide, p)
-                    ctx = body[p - left : p + cfg.length * (1 + wide)]
+                    left = min(cfg.span, p)
+                    ctx = body[p - left : p + cfg.length * 2]
                     name = xxhash.xxh3_128_intdigest(ctx, (h ^ left) % 2**64)
                     c1, c2 = (name >> 64) - 2**63, name % 2**64 - 2**63
                     sent = ctx
@@ -188,7 +290,7 @@ def _contexts(rows: DataFrame, cfg: RepeatConfig, wide: bool = False) -> DataFra
                     else:
                         seen.add(name)
                         size += len(ctx)
-                        if len(seen) > 500_000:
+                        if len(seen) > 100_000:
                             seen.clear()
                     for col, v in zip(out, (h, left, len(ctx), c1, c2, t1, t2, p, sent)):
                         col.append(v)
@@ -282,60 +384,58 @@ def _hot_windows(classes: DataFrame, cfg: RepeatConfig) -> DataFrame:
     return hit.select("c1", "c2", F.explode(run_).alias("s")).select("c1", "c2", "s.lo", "s.hi")
 
 
-def _stages(df: DataFrame, text: str, cfg: RepeatConfig, doc_id: str):
-    """Row keys, texts that occur more than once, the texts to search, and their contexts."""
+def _copied(df: DataFrame, text: str, cfg: RepeatConfig, doc_id: str):
+    """Row keys, texts that occur more than once, and the texts to search."""
     rows = _texts(df, text)
-    long_ = rows.filter(F.col("n_bytes") >= cfg.length).withColumn("__id", F.col(doc_id))
+    long_ = rows.filter(F.col("n_bytes") >= cfg.length).withColumn("__id", F.col(f"`{doc_id}`"))
     dups = cut(long_.groupBy("t1", "t2", "n_bytes").agg(F.count("*").alias("m"), F.min("__id").alias("first")).filter("m > 1"))
     texts = long_.select("text", "t1", "t2", "__id")
     if dups.count() <= cfg.broadcast_rows:
         # all of a copied text is repeated; it is searched once, for what other texts share with it
         held = F.broadcast(dups.select(F.col("t1").alias("d1"), F.col("t2").alias("d2"), "first"))
         texts = texts.join(held, (F.col("t1") == F.col("d1")) & (F.col("t2") == F.col("d2")), "left").filter(F.col("d1").isNull() | F.col("first").isNull() | (F.col("__id") == F.col("first")))
-    texts = texts.select("text", "t1", "t2")
-    found = _found(texts, cfg)
-    again = cut(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
-    live = found.join(again, "h").groupBy("t1", "t2").agg(F.collect_set(F.struct("pos", "h")).alias("at"))  # bounded by the text
-    live = cut(live)
-    use = texts
-    if live.count() <= cfg.broadcast_rows:  # spares the shuffle the texts without a repeated anchor
-        use = texts.join(F.broadcast(live.select("t1", "t2")), ["t1", "t2"], "left_semi")
-    use = use.withColumn("t2", F.col("t2").cast("int"))
-    return rows, dups, use, live
+    return rows, dups, texts.select("text", "t1", "t2")
 
 
 def class_spans(df: DataFrame, text: str = "text", cfg: RepeatConfig = RepeatConfig(), groups: bool = False, doc_id: str = "doc_id"):
-    """(rows with text keys, texts that occur more than once, spans by distinct text: t1, t2, begin, end)."""
-    rows, dups, use, live = _stages(df, text, cfg, doc_id)
-    contexts = stored(_contexts(use.join(live, ["t1", "t2"]), cfg), "contexts")
+    """(rows with text keys, texts that occur more than once, spans by distinct text: t1, t2, begin, end, and the stored table they read)."""
+    rows, dups, texts = _copied(df, text, cfg, doc_id)
+    counts, bits = _anchor_sketch(texts, cfg)
+    levels = texts.sparkSession.sparkContext.broadcast(counts)
+    places = stored(_named(texts, levels, bits, cfg), "places")
     # a text that is read twice gives every class twice, which is what two places are
-    classes = cut(contexts.groupBy("h", "c1", "c2", "left", "size").agg(F.count("*").alias("n")))
+    classes = stored(places.groupBy("c1", "c2").agg(F.first("h").alias("h"), F.first("left").alias("left"), F.first("size").alias("size"), F.count("*").alias("n"), F.min(F.struct("t1", "t2", "pos")).alias("first")), "classes")
     crowd = cut(classes.groupBy("h").agg(F.count("*").alias("classes")).filter("classes > 1"))
-    hot = crowd.filter(F.col("classes") > cfg.hot).select("h")
+    several = stored(classes.join(crowd, "h").select("h", "c1", "c2", "left", "n", "first.*", "classes"), "classes")
+    hot = cut(crowd.filter(F.col("classes") > cfg.hot).select("h"))
     n_hot = hot.count()
-    bodies = contexts.filter("ctx is not null").select("h", "c1", "c2", "ctx", "left")
-    some = bodies
-    if n_hot:
-        some = some.join(F.broadcast(hot) if n_hot <= cfg.broadcast_rows else hot, "h", "left_anti")
-    spans = _arrays(some, cfg, groups)
+    hot = F.broadcast(hot) if n_hot <= cfg.broadcast_rows else hot
+    few = _bodies(texts, several.filter(F.col("classes") <= cfg.hot), levels, bits, cfg)
+    spans = _arrays(few.join(hot, "h", "left_anti") if n_hot else few, cfg, groups)
     whole = classes.filter("n > 1").select("c1", "c2", (-F.col("left")).alias("lo"), (F.col("size") - F.col("left")).alias("hi"))
     if groups:
         whole = whole.withColumn("repeat", F.xxhash64("c1", "c2"))
     spans = spans.unionByName(whole)
+    heated = None
     if n_hot:
-        heated = bodies.join(F.broadcast(hot) if n_hot <= cfg.broadcast_rows else hot, "h", "left_semi").groupBy("h", "c1", "c2", "left").agg(F.min("ctx").alias("ctx"))
-        heated = _hot_windows(heated.join(classes.select("c1", "c2", "n"), ["c1", "c2"]), cfg)
-        spans = spans.unionByName(heated.withColumn("repeat", F.lit(None).cast("long")) if groups else heated)
-    spans = cut(spans)
-    placed = contexts.select("c1", "c2", "t1", "t2", "pos").join(spans, ["c1", "c2"])
+        many = several.filter(F.col("classes") > cfg.hot)
+        heated = stored(_bodies(texts, many, levels, bits, cfg).dropDuplicates(["c1", "c2"]).join(many.select("c1", "c2", "n"), ["c1", "c2"]), "hot")
+        windows = _hot_windows(heated, cfg)
+        spans = spans.unionByName(windows.withColumn("repeat", F.lit(None).cast("long")) if groups else windows)
+    spans = stored(spans, "spans")
+    for used in (classes, several, heated):
+        if used is not None:
+            discard(used)
+    levels.unpersist()
+    placed = places.select("c1", "c2", "t1", "t2", "pos").join(spans, ["c1", "c2"])
     placed = placed.select("t1", F.col("t2").cast("long").alias("t2"), (F.col("pos") + F.col("lo")).alias("begin"), (F.col("pos") + F.col("hi")).alias("end"), *(["repeat"] if groups else []))
-    return rows, dups, placed
+    return rows, dups, placed, (places, spans)
 
 
 def maximal_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", cfg: RepeatConfig = RepeatConfig()) -> DataFrame:
     """repeat, length, doc_id, begin: all occurrences of every maximal repeat, as far as an anchor's context shows it. Windows of
     hot anchors are reported without a repeat's name. `whole_repeats` has neither bound."""
-    rows, dups, placed = class_spans(df, text, cfg, groups=True, doc_id=doc_id)
+    rows, dups, placed, _ = class_spans(df, text, cfg, groups=True, doc_id=doc_id)
     places = placed.select("repeat", (F.col("end") - F.col("begin")).alias("length"), "t1", "t2", "begin").distinct()
     places = places.unionByName(dups.select(F.col("t1").alias("repeat"), F.col("n_bytes").cast("int").alias("length"), "t1", "t2", F.lit(0).alias("begin")))  # copied texts, as wholes
     return rows.select(F.col(doc_id).alias("doc_id"), "t1", "t2").join(cut(places), ["t1", "t2"]).select("repeat", "length", "doc_id", "begin")
@@ -358,7 +458,7 @@ def whole_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", cfg
             break
         live = live.withColumn("t2", F.col("t2").cast("long"))
         use = texts.join(live, ["t1", "t2"]).withColumn("t2", F.col("t2").cast("int"))
-        contexts = stored(_contexts(use, cfg, wide=True), "contexts")
+        contexts = stored(_contexts(use, cfg), "contexts")
         spans = cut(_arrays(contexts.filter("ctx is not null").select("h", "c1", "c2", "ctx", "left"), cfg, True, True))
         placed = contexts.select("c1", "c2", "t1", "t2", "pos").join(spans, ["c1", "c2"])
         placed = placed.select("repeat", (F.col("hi") - F.col("lo")).alias("length"), "t1", F.col("t2").cast("long").alias("t2"), (F.col("pos") + F.col("lo")).alias("begin"))
@@ -368,13 +468,28 @@ def whole_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", cfg
     return rows.select(F.col(doc_id).alias("doc_id"), "t1", "t2").join(places, ["t1", "t2"]).select("repeat", "length", "doc_id", "begin")
 
 
+def merged_spans(df: DataFrame) -> DataFrame:
+    """t1, t2, spans: those of each text in order, joined where they touch or overlap."""
+
+    def run(batches):
+        for b in batches:
+            out = [[{"begin": a, "end": z} for a, z in _merge([(x["begin"], x["end"]) for x in spans])] for spans in b.column("spans").to_pylist()]
+            kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([b.column("t1"), b.column("t2"), pa.array(out, kind)], names=["t1", "t2", "spans"])
+
+    return df.mapInArrow(run, "t1 long, t2 long, spans array<struct<begin:int,end:int>>")
+
+
 def removal(df: DataFrame, doc_id: str = "doc_id", text: str = "text", cfg: RepeatConfig = RepeatConfig()) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    rows, dups, placed = class_spans(df, text, cfg, doc_id=doc_id)
-    covered = cut(placed.join(dups.select("t1", "t2"), ["t1", "t2"], "left_anti").groupBy("t1", "t2").agg(F.collect_set(F.struct("begin", "end")).alias("spans")))
+    rows, dups, placed, used = class_spans(df, text, cfg, doc_id=doc_id)
+    covered = placed.join(dups.select("t1", "t2"), ["t1", "t2"], "left_anti").groupBy("t1", "t2").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    covered = stored(merged_spans(covered), "covered")
+    for table in used:
+        discard(table)
     texts = rows.filter(F.col("n_bytes") >= cfg.length).select("text", "t1", "t2")
-    if covered.count() <= cfg.broadcast_rows:
-        texts = texts.join(F.broadcast(covered.select("t1", "t2")), ["t1", "t2"], "left_semi")
+    size = covered.agg(F.count("*").alias("n"), F.sum(F.size("spans")).alias("spans")).first()
+    side = F.broadcast(covered) if size["n"] <= cfg.broadcast_rows and (size["spans"] or 0) <= 2 * cfg.broadcast_rows else covered
 
     def run(batches):
         for b in batches:
@@ -382,18 +497,17 @@ def removal(df: DataFrame, doc_id: str = "doc_id", text: str = "text", cfg: Repe
             out: list[tuple] = []
             for r, spans in enumerate(b.column("spans").to_pylist()):
                 body = raw[offs[r] : offs[r + 1]].tobytes()
-                merged = _merge([(s["begin"], s["end"]) for s in spans])
                 kept, last, gone = hashlib.sha256(), 0, 0
-                for a, z in merged:
-                    kept.update(body[last:a])
-                    last, gone = z, gone + z - a
+                for s in spans:
+                    kept.update(body[last : s["begin"]])
+                    last, gone = s["end"], gone + s["end"] - s["begin"]
                 kept.update(body[last:])
-                out.append((gone, len(merged), kept.hexdigest()))
+                out.append((gone, len(spans), kept.hexdigest()))
             cols = list(zip(*out)) if out else [()] * 3
             yield pa.RecordBatch.from_arrays([b.column("t1"), b.column("t2"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["t1", "t2", "n_removed", "n_spans", "kept_sha256"])
 
     # texts outside `dups` occur once, so that (t1, t2) is a key here
-    part = texts.join(covered, ["t1", "t2"]).select("text", "t1", "t2", "spans").mapInArrow(run, "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string")
+    part = texts.join(side, ["t1", "t2"]).select("text", "t1", "t2", "spans").mapInArrow(lean(run), "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string")
     whole = dups.select("t1", "t2", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"))
     result = cut(part.unionByName(whole)).withColumnRenamed("kept_sha256", "left_sha256")
     base = rows.select(F.col(doc_id).alias("doc_id"), "t1", "t2", "n_bytes", F.sha2(F.col("text").cast("binary"), 256).alias("own"))

@@ -15,8 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 _PIECE = 14
-_HELD = 4 << 20
+_HELD = 2 << 20
 #: The count that each of the 256 levels stands for, rounded down.
 LEVELS = np.where(np.arange(256) < 16, np.arange(256), np.ceil(16 * 2.0 ** ((np.arange(256) - 16) / 8)))
 MOST_BITS = 26
@@ -74,7 +76,7 @@ def count_sketch(df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Ite
             level = np.where(x < 16, x, np.minimum(high, 255)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([zlib.compress(level.tobytes(), 1)], pa.binary())], names=["p", "c"])
 
-    rows = df.mapInArrow(count, "p int, c binary").repartition("p").mapInArrow(total, "p int, c binary")
+    rows = df.mapInArrow(lean(count), "p int, c binary").repartition("p").mapInArrow(total, "p int, c binary")
     out = np.zeros(1 << bits, np.uint8)
     for r in rows.collect():  # 2^bits bytes at most
         out[r["p"] << _PIECE : (r["p"] + 1) << _PIECE] = np.frombuffer(zlib.decompress(r["c"]), np.uint8)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quire.llm import components, jaccard, mixing, packing, queries, repeats, topk, warc
@@ -251,6 +252,24 @@ def test_repeats_against_brute_force(spark, hot):
     assert repeats.removal(df.limit(0), cfg=cfg).count() == 0
 
 
+def test_repeats_of_the_documents_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    windows = [np.array([xxhash.xxh3_64_intdigest(b[i : i + 400]) for i in range(len(b) - 399)], np.uint64) for _, b in rows]
+    hashes, counts = np.unique(np.concatenate(windows), return_counts=True)
+    again, want = hashes[counts > 1], Counter()
+    for (d, b), w in zip(rows, windows):
+        step = np.zeros(len(b) + 1, int)
+        for i in np.flatnonzero(np.isin(w, again)):
+            step[i] += 1
+            step[i + 400] -= 1
+        gone = np.cumsum(step)[:-1] > 0
+        runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        want[d, len(b), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()] += 1
+    got = Counter(tuple(r) for r in queries.op9_repeats(spark, sf).collect())
+    assert got == want and sum(x[2] > 0 for x in want) > 50
+
+
 def test_maximal_repeats(spark):
     shared = "the quick brown fox jumps over the lazy dog and runs away from the bear"
     texts = ["alpha " + shared + " one", "beta " + shared + " two", "gamma " + shared[:60] + "| three"]
