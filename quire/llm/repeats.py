@@ -11,8 +11,10 @@ which are copies and are dropped). Anchors that a first sketch proves to be met
 Each group is one enhanced suffix array: its right contexts are sorted, the common-prefix lengths of neighbours scanned with a
 stack, and the intervals of that scan are the nodes of the common-prefix interval tree. Each interval is scanned again over its
 left contexts, which tests left-extension diversity: a node of both trees with left + right >= length is a maximal repeat, and its
-members are all its occurrences, not just neighbours. Groups of more than `hot` classes would make a large task; they are split by
-the windows of `length` bytes that hold the anchor, and the windows are counted with map-side sums.
+members are all its occurrences, not just neighbours. Groups of more than `hot` classes would make a large task; their tree is built
+from the root instead, a level at a time: what all members have in common is a node, found by sums with map-side parts, and the members
+are dealt to smaller groups by what follows on the right, or, for repeats that end there, by what precedes on the left. Groups that are
+small enough are arrays again. Where `levels` do not suffice, the windows of `length` bytes that hold the anchor are counted.
 
 `spans` gives the repeated bytes of each distinct text, `whole_repeats` the groups themselves (`maximal_repeats` as far as contexts show them), `removal` the digest of what is left.
 
@@ -41,13 +43,15 @@ _LOW = np.uint64((1 << 22) - 1)
 @dataclass(frozen=True)
 class RepeatConfig:
     """length: bytes of the shortest repeat. span: k-grams to a window (a power of two); k = length - span + 1.
-    hot: most classes of one array. broadcast_rows: most rows that a broadcast holds. sketch_bits: log2 of the most counters of a sketch."""
+    hot: most classes of one array. broadcast_rows: most rows that a broadcast holds. sketch_bits: log2 of the most counters of a sketch.
+    levels: most levels of a large group's tree that are built from the root."""
 
     length: int = 400
     span: int = 256
     hot: int = 512
     broadcast_rows: int = 500_000
     sketch_bits: int = 26
+    levels: int = 24
 
     @property
     def k(self) -> int:
@@ -173,7 +177,7 @@ def _anchor_sketch(texts: DataFrame, cfg: RepeatConfig) -> tuple[np.ndarray, int
         for b in batches:
             raw, offs = text_bytes(b.column("text"))
             for i in range(len(offs) - 1):
-                yield anchors(raw[offs[i] : offs[i + 1]], cfg)[1]
+                yield mix64(anchors(raw[offs[i] : offs[i + 1]], cfg)[1])  # a minimizer's hash is small
 
     return count_sketch(texts.select("text"), hashes, bits), bits
 
@@ -186,7 +190,7 @@ def _places(batches, levels, bits: int, cfg: RepeatConfig):
         for r, (t1, t2) in enumerate(zip(b.column("t1").to_pylist(), b.column("t2").to_pylist())):
             body = raw[offs[r] : offs[r + 1]]
             at, h = anchors(body, cfg)
-            live = levels.value[slot(h, bits)] > 1
+            live = levels.value[slot(mix64(h), bits)] > 1
             if not live.any():
                 continue
             at, h, body = at[live], h[live], body.tobytes()
@@ -384,6 +388,48 @@ def _hot_windows(classes: DataFrame, cfg: RepeatConfig) -> DataFrame:
     return hit.select("c1", "c2", F.explode(run_).alias("s")).select("c1", "c2", "s.lo", "s.hi")
 
 
+def _in_common(rows: DataFrame) -> DataFrame:
+    """h, l, r: how many bytes all of a group share with its first member, and so with each other, before and from the anchor on."""
+
+    def run(batches):
+        for b in batches:
+            out = [(h, _common(ctx[:n][::-1], rep[:m][::-1]), _common(ctx[n:], rep[m:])) for h, n, ctx, m, rep in zip(*(b.column(c).to_pylist() for c in ("h", "left", "ctx", "rep_left", "rep")))]
+            cols = list(zip(*out)) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["h", "l", "r"])
+
+    return rows.select("h", "left", "ctx", "rep_left", "rep").mapInArrow(run, "h long, l int, r int").groupBy("h").agg(F.min("l").alias("l"), F.min("r").alias("r"))
+
+
+def _large_groups(rows: DataFrame, cfg: RepeatConfig, groups: bool) -> DataFrame:
+    """c1, c2, lo, hi (and repeat) of groups (h) of any size, from c1, c2, left, ctx, n of their classes."""
+    parts = []
+    for level in range(cfg.levels + 1):
+        first = F.min(F.struct("c1", "c2", "left", "ctx")).alias("first")
+        large = cut(rows.groupBy("h").agg(F.count("*").alias("m"), first).filter(F.col("m") > cfg.hot).select("h", F.col("first.left").alias("rep_left"), F.col("first.ctx").alias("rep")))
+        n = large.count()
+        side = (lambda df: F.broadcast(df)) if n <= cfg.broadcast_rows // 100 else (lambda df: df)
+        parts.append(_arrays(rows.join(side(large.select("h")), "h", "left_anti") if n else rows, cfg, groups))
+        if not n:
+            break
+        if level == cfg.levels:
+            windows = _hot_windows(rows.join(side(large.select("h")), "h", "left_semi"), cfg)
+            parts.append(windows.withColumn("repeat", F.lit(None).cast("long")) if groups else windows)
+            break
+        many = rows.join(side(cut(_in_common(rows.join(side(large), "h")))), "h")
+        size = F.octet_length("ctx")
+        node = many.filter(F.col("l") + F.col("r") >= cfg.length).select("c1", "c2", (-F.col("l")).alias("lo"), F.col("r").alias("hi"), *([F.xxhash64(F.expr("substring(ctx, left - l + 1, l + r)")).alias("repeat")] if groups else []))
+        parts.append(node)
+        keep = ["c1", "c2", "left", "ctx", "n"]
+        more = F.greatest(F.col("l") + 1, F.lit(cfg.length) - F.col("r"))
+        right = many.filter((size - F.col("left") > F.col("r")) & (size >= cfg.length)).select(F.xxhash64("h", F.lit("right"), F.expr("substring(ctx, left + 1, r + 1)")).alias("h"), *keep)
+        left = many.withColumn("more", more).filter(F.col("left") >= F.col("more")).select(F.xxhash64("h", F.lit("left"), F.expr("substring(ctx, left - more + 1, more)")).alias("h"), *keep)
+        rows = stored(right.unionByName(left), "level")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _copied(df: DataFrame, text: str, cfg: RepeatConfig, doc_id: str):
     """Row keys, texts that occur more than once, and the texts to search."""
     rows = _texts(df, text)
@@ -420,8 +466,7 @@ def class_spans(df: DataFrame, text: str = "text", cfg: RepeatConfig = RepeatCon
     if n_hot:
         many = several.filter(F.col("classes") > cfg.hot)
         heated = stored(_bodies(texts, many, levels, bits, cfg).dropDuplicates(["c1", "c2"]).join(many.select("c1", "c2", "n"), ["c1", "c2"]), "hot")
-        windows = _hot_windows(heated, cfg)
-        spans = spans.unionByName(windows.withColumn("repeat", F.lit(None).cast("long")) if groups else windows)
+        spans = spans.unionByName(_large_groups(heated, cfg, groups))
     spans = stored(spans, "spans")
     for used in (classes, several, heated):
         if used is not None:

@@ -238,15 +238,15 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [1, 3, 512])
-def test_repeats_against_brute_force(spark, hot):
+@pytest.mark.parametrize("hot,levels", [(1, 0), (2, 24), (3, 1), (512, 24)])
+def test_repeats_against_brute_force(spark, hot, levels):
     rnd = random.Random(8)
     word = lambda: "".join(rnd.choice("abé") for _ in range(rnd.randint(1, 5)))
     passages = [" ".join(word() for _ in range(k)) for k in (15, 40, 60)]
     texts = [" ".join(rnd.choice([*passages, word(), word(), word(), passages[1][5:90], "zz" * 30]) for _ in range(rnd.randint(1, 12))) for _ in range(60)]
     texts += [None, "", "short", texts[0], texts[0], "ab" * 300, passages[2] + passages[2]]
     df = spark.createDataFrame([(i % 50, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("n_bytes", F.lit("clash")).repartition(4)
-    cfg = repeats.RepeatConfig(length=48, span=32, hot=hot)
+    cfg = repeats.RepeatConfig(length=48, span=32, hot=hot, levels=levels)
     got = Counter(tuple(r) for r in repeats.removal(df, cfg=cfg).collect())
     assert got == Counter((i % 50, *x) for i, x in enumerate(brute_repeats(texts, 48)))
     assert repeats.removal(df.limit(0), cfg=cfg).count() == 0
