@@ -2,9 +2,12 @@
 
 `train` counts hashed n-grams (orders 1 to `max_n`) of a bounded sample of labelled texts; `with_language` scores every
 whole text against the broadcast log-probability matrix, a batch of texts at a time: the batch is a sparse matrix in CSR
-form (bucket ids by text) and its product with the dense matrix is summed by row in numpy.
+form (bucket ids by text) and its product with the dense matrix is summed by row in numpy. Long texts are scored in pieces.
 
-Defined cases: a null text, an empty one and one without a letter get `und` with score 0; so does every text if nothing was
+The log likelihood is divided by `max_n` before the prior is added: each character ends an n-gram of every order, and orders that
+overlap would count it several times, so the posterior would be too sure.
+
+Defined cases: a null text, an empty one and one without a letter (by Unicode category; numerals like "½" or "Ⅷ" are none) get `und` with score 0; so does every text if nothing was
 learned. Ties go to the language first by code point. Repeated rows are scored alike, each for itself. A column of the
 input whose name an output column has is replaced.
 """
@@ -20,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]")
 _CHUNK = 1 << 19
 
 
@@ -43,35 +46,44 @@ class LangModel:
     config: LangConfig
 
 
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in _WORD.finditer(text))
+
+
 def bucket_ids(texts: list[str], cfg: LangConfig):
-    """Yields (row of the text, bucket ids) for pieces of texts, joined so that numpy works on many characters at once."""
-    group, rows, size = [], [], 0
+    """Yields (rows, begins, ids by order) for pieces of texts, joined so that numpy works on many characters at once, but no more
+    than about _CHUNK. A piece has the characters before it that its n-grams need; a row may come in several yields."""
+    group, rows, heads, size = [], [], [], 0
     for i, t in enumerate(texts):
         low = t.lower()
-        group.append(low)
-        rows.append(i)
-        size += len(low)
-        if size >= _CHUNK:
-            yield _ids(group, rows, cfg)
-            group, rows, size = [], [], 0
+        for a in range(0, max(len(low), 1), _CHUNK):
+            head = min(a, cfg.max_n - 1)
+            group.append(low[a - head : a + _CHUNK])
+            rows.append(i)
+            heads.append(head)
+            size += len(group[-1])
+            if size >= _CHUNK:
+                yield _ids(group, rows, heads, cfg)
+                group, rows, heads, size = [], [], [], 0
     if group:
-        yield _ids(group, rows, cfg)
+        yield _ids(group, rows, heads, cfg)
 
 
-def _ids(group: list[str], rows: list[int], cfg: LangConfig):
-    """Rows, their lengths and per order the bucket of the n-gram that ends at each character (-1: crosses a start)."""
+def _ids(group: list[str], rows: list[int], heads: list[int], cfg: LangConfig):
+    """Rows, the begins of their pieces and per order the bucket of the n-gram that ends at each character (-1: crosses a start, or
+    ends in the characters before the piece)."""
     codes = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), np.uint32)
     lens = np.fromiter(map(len, group), np.int64, len(group))
     begins = np.concatenate([[0], np.cumsum(lens)])
     place = np.arange(len(codes)) - np.repeat(begins[:-1], lens)
+    before = place < np.repeat(np.array(heads, np.int64), lens)
     h, orders = np.zeros(len(codes), np.uint32), []
     with np.errstate(over="ignore"):
         for n in range(1, cfg.max_n + 1):
             h = codes * np.uint32(0x9E3779B1) + np.uint32(n) if n == 1 else np.concatenate([h[:1], h[:-1]]) * np.uint32(0x85EBCA6B) + codes * np.uint32(0xC2B2AE35)
             mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
             ids = (mixed >> np.uint32(32 - cfg.bits)).astype(np.int32)
-            if n > 1:
-                ids[place < n - 1] = -1
+            ids[before | (place < n - 1)] = -1
             orders.append(ids)
     return rows, begins, orders
 
@@ -80,7 +92,8 @@ def train(df: DataFrame, text: str, lang: str, key: Column, cfg: LangConfig = La
     """Fits on rows of `df` whose lang is not null: at most about cfg.rows_per_lang whole texts of each language, by hash of `key`."""
     spark = df.sparkSession
     rows = df.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("h")).filter("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most = int(cfg.max_matrix_mb * 1e6 / 4) >> cfg.bits
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most + 1).collect()}
     langs = tuple(sorted(counts))
     if not langs:
         return LangModel((), np.zeros((1 << cfg.bits, 0), np.float32), np.zeros(0), cfg)
@@ -116,24 +129,26 @@ def score_texts(texts: list[str | None], model: LangModel) -> tuple[list[str], n
     out, score = [UNKNOWN] * n, np.zeros(n)
     if not k:
         return out, score
-    use = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+    use = [i for i, t in enumerate(texts) if t and has_letter(t)]
+    total = np.zeros((len(use), k))
     for rows, begins, orders in bucket_ids([texts[i] for i in use], model.config):
-        total = np.zeros((len(rows), k))
+        part = np.zeros((len(rows), k))
         padded = [np.where(ids < 0, 0, ids) for ids in orders]
         for li in range(k):
             column = np.ascontiguousarray(model.weights[:, li])
             for n_, ids in enumerate(padded):
                 got = column[ids]
-                if n_:
-                    got[orders[n_] < 0] = 0
-                total[:, li] += np.add.reduceat(got, begins[:-1], dtype=np.float64)
+                got[orders[n_] < 0] = 0
+                part[:, li] += np.add.reduceat(got, begins[:-1], dtype=np.float64)
+        np.add.at(total, rows, part)
+    if use:
         total = total / model.config.max_n + model.priors
         best = total.argmax(1)
         p = np.exp(total - total.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        for j, r in enumerate(rows):
-            out[use[r]] = model.langs[best[j]]
-            score[use[r]] = min(1.0, p[j, best[j]])
+        for j, r in enumerate(use):
+            out[r] = model.langs[best[j]]
+            score[r] = min(1.0, p[j, best[j]])
     return out, score
 
 

@@ -30,12 +30,14 @@ Schedule = tuple[tuple[float, float], ...]
 
 @dataclass(frozen=True)
 class MixConfig:
-    """weights and schedules are dealt to the sources in code-point order, repeating. A schedule: (time, rate) knots from 0 to 1."""
+    """weights and schedules are dealt to the sources in code-point order, repeating. A schedule: (time, rate) knots from 0 to 1.
+    broadcast_rows: most buckets, of all sources, that a broadcast holds; beyond it their join is a shuffle."""
 
     weights: tuple[int, ...] = (1, 2, 3)
     schedules: tuple[Schedule, ...] = (((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.5), (1.0, 0.5)))
     max_epochs: int = 3
     key: str = "mix-1"
+    broadcast_rows: int = 500_000
 
 
 def area(schedule: Schedule) -> float:
@@ -90,6 +92,8 @@ def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str
     starts = buckets.withColumn("__ahead", F.coalesce(F.sum("words").over(ahead), F.lit(0))).drop("words").alias("b").join(targets.alias("t"), F.expr("b.source <=> t.source")).select("b.source", "__bucket", "__ahead", "source_size", "rank", "target")
     within = W.partitionBy("source", "__bucket").orderBy("__key", "size").rowsBetween(W.unboundedPreceding, -1)
     named = starts.withColumnsRenamed({"source": "__source", "__bucket": "__b"})
+    if buckets.count() <= cfg.broadcast_rows:
+        named = F.broadcast(named)
     rows = rows.withColumn("__within", F.coalesce(F.sum("size").over(within), F.lit(0)))
     rows = rows.join(named, (F.coalesce(rows["source"], F.lit("")) == F.coalesce(named["__source"], F.lit(""))) & (rows["source"].isNull() == named["__source"].isNull()) & (rows["__bucket"] == named["__b"]))
     begin, want = F.col("__ahead") + F.col("__within"), F.floor("target")

@@ -1,5 +1,6 @@
 """Language ID, quality rules, HTML rendering and surrogates."""
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -45,6 +46,37 @@ def test_language_scores_do_not_depend_on_batches(spark):
         assert one[0] == lang[i] and abs(s[0] - score[i]) < 1e-9
 
 
+def plain_posterior(text, model):
+    """Language and posterior by one n-gram at a time."""
+    cfg, low = model.config, text.lower()
+    total = [0.0] * len(model.langs)
+    for n in range(1, cfg.max_n + 1):
+        for i in range(n - 1, len(low)):
+            h = (ord(low[i - n + 1]) * 0x9E3779B1 + 1) % 2**32
+            for c in low[i - n + 2 : i + 1]:
+                h = (h * 0x85EBCA6B + ord(c) * 0xC2B2AE35) % 2**32
+            h = (h ^ (h >> 15)) * 0x2C1B3C6D % 2**32 >> (32 - cfg.bits)
+            total = [x + float(w) for x, w in zip(total, model.weights[h])]
+    total = [x / cfg.max_n + p for x, p in zip(total, model.priors)]
+    odds = [math.exp(x - max(total)) for x in total]
+    return model.langs[odds.index(max(odds))], max(odds) / sum(odds)
+
+
+@pytest.mark.parametrize("piece", [5, 1 << 19])
+def test_language_against_brute_force(spark, monkeypatch, piece):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").filter("doc_id < 60")
+    model = langid.train(docs, "text", "lang", F.col("doc_id"))
+    texts = [r["text"][:120] for r in docs.collect() if r["text"]] + ["", "a", "ΑΣ Σ", "½ ² Ⅷ", "½ é", "名前"]
+    monkeypatch.setattr(langid, "_CHUNK", piece)
+    lang, score = langid.score_texts(texts, model)
+    for t, a, s in zip(texts, lang, score):
+        if not any(c.isalpha() for c in t):
+            assert (a, s) == ("und", 0.0)
+        else:
+            want = plain_posterior(t, model)
+            assert a == want[0] and abs(s - want[1]) < 1e-4
+
+
 def test_quality_matches_sql(same):
     same(queries.op6_quality, queries.SQL["op6_quality"])
 
