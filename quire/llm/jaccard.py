@@ -233,7 +233,7 @@ def _prefixes(docs: DataFrame, total: int, names: Names, cfg: JoinConfig) -> Dat
 
 
 def _near(xs: list, ys: list, cfg: JoinConfig):
-    """(x, y) of the pairs of rows (c, k, n, l, bitmap, tokens) in different components that may link and share this token first.
+    """(x, y) of the pairs of rows (c, k, n, l, main, bitmap) in different components that may link, by their sizes and bitmaps.
     A pair is named once: ys in the list's main component are not among xs, others are if x < y."""
     if not xs or not ys:
         return
@@ -259,9 +259,9 @@ def _candidates(live: DataFrame, sets: DataFrame, cfg: JoinConfig) -> DataFrame:
     """hub, c, n: the pairs across components that lists, bitmaps and prefixes allow. sets: `prefixes` of the classes."""
     need = F.expr(f"(n * {cfg.percent}L + 99) div 100")
     rows = live.filter(F.col("pos") <= F.col("n") - need)  # sets that link share a token of their shortest prefixes
-    rows = rows.join(sets.select("c", "bitmap", F.col("tokens.t").alias("tokens")), "c")
+    rows = rows.join(sets.select("c", "bitmap"), "c")
     blocks = rows.withColumns({"xs": F.ceil((F.col("all") - F.col("m")) / cfg.block), "ys": F.ceil(F.col("all") / cfg.block)})
-    keep = ["t", "c", "k", "n", "l", "main", "bitmap", "tokens"]
+    keep = ["t", "c", "k", "n", "l", "main", "bitmap"]
     of = lambda n: F.pmod(F.xxhash64("c", F.lit("block")), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     few = blocks.filter("k <> main").select(*keep, of("xs").alias("i"), every("ys").alias("j"), F.lit(0).alias("role"))
@@ -273,26 +273,27 @@ def _candidates(live: DataFrame, sets: DataFrame, cfg: JoinConfig) -> DataFrame:
             for b in batches:
                 for r in b.to_pylist():
                     if (r["t"], r["i"], r["j"]) != key:
-                        yield from pairs(key, xs, ys)
+                        yield from pairs(xs, ys)
                         key, xs, ys = (r["t"], r["i"], r["j"]), [], []
                     (ys if r["role"] else xs).append(r)
                     if len(ys) >= cfg.block:
-                        yield from pairs(key, xs, ys)
+                        yield from pairs(xs, ys)
                         ys = []
-            yield from pairs(key, xs, ys)
+            yield from pairs(xs, ys)
 
-        def pairs(key, xs, ys):
+        def pairs(xs, ys):
             for x, y in _near(xs, ys, cfg):
-                other = set(y["tokens"])
-                both = [t for t in x["tokens"] if t in other]
-                if both[0] == key[0] and len(both) >= min(x["l"], y["l"]):
-                    a, b = sorted(((x["c"], x["n"]), (y["c"], y["n"])))
-                    yield a[0], b[0], b[1]
+                a, b = sorted(((x["c"], x["n"]), (y["c"], y["n"])))
+                yield a[0], b[0], b[1], min(x["l"], y["l"])
 
-        yield from batched(found(), [pa.int64(), pa.int64(), pa.int32()], ["hub", "c", "n"])
+        yield from batched(found(), [pa.int64(), pa.int64(), pa.int32(), pa.int32()], ["hub", "c", "n", "l"])
 
     both = few.unionByName(rest).repartition("t", "i", "j").sortWithinPartitions("t", "i", "j", "role")
-    return both.mapInArrow(lean(compare), "hub long, c long, n int").distinct()
+    pairs = cut(both.mapInArrow(lean(compare), "hub long, c long, n int, l int").distinct())
+    ids = cut(pairs.select("c").unionByName(pairs.select(F.col("hub").alias("c"))).distinct())
+    prefix = sets.join(F.broadcast(ids) if ids.count() <= cfg.broadcast_rows else ids, "c", "left_semi").select("c", F.col("tokens.t").alias("tokens"))
+    pairs = pairs.join(prefix, "c").join(prefix.select(F.col("c").alias("hub"), F.col("tokens").alias("others")), "hub")
+    return pairs.filter(F.size(F.array_intersect("tokens", "others")) >= F.col("l")).select("hub", "c", "n")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, holders: DataFrame, names: Names, cfg: JoinConfig) -> DataFrame:
