@@ -116,14 +116,15 @@ def intervals(strings: list[bytes]) -> tuple[list[int], list[tuple[int, int, int
     return order, out
 
 
-def repeat_groups(contexts: list[tuple[bytes, int]], cfg: RepeatConfig) -> list[tuple[int, int, list[int]]]:
-    """Maximal repeats of one anchor's distinct contexts (bytes, bytes before the anchor): (left, right, members)."""
+def repeat_groups(contexts: list[tuple[bytes, int]], cfg: RepeatConfig):
+    """Yields the maximal repeats of one anchor's distinct contexts (bytes, bytes before the anchor): (left, right, members)."""
     rights = [c[n:] for c, n in contexts]
     lefts = [c[:n][::-1] for c, n in contexts]
     if len(contexts) == 2:
         r, l = _common(*rights), _common(*lefts)  # noqa: E741
-        return [(l, r, [0, 1])] if l + r >= cfg.length else []
-    out = []
+        if l + r >= cfg.length:
+            yield l, r, [0, 1]
+        return
     order, found = intervals(rights)
     for r, a, z in found:
         need = cfg.length - r
@@ -137,8 +138,7 @@ def repeat_groups(contexts: list[tuple[bytes, int]], cfg: RepeatConfig) -> list[
             if l >= need:
                 group = [members[j] for j in sub[b : y + 1]]
                 if len({rights[i][r : r + 1] for i in group}) > 1 or any(len(rights[i]) == r for i in group):
-                    out.append((l, r, group))
-    return out
+                    yield l, r, group
 
 
 def _texts(df: DataFrame, text: str) -> DataFrame:
@@ -321,7 +321,7 @@ def _arrays(classes: DataFrame, cfg: RepeatConfig, groups: bool, wide: bool = Fa
     def group(held: list, out: list[list]) -> None:
         held = list({x[1:3]: x for x in held}.values())  # a context may come from several tasks
         contexts = [(x[3], x[4]) for x in held]
-        found = repeat_groups(contexts, cfg) if len(held) > 1 else []
+        found = repeat_groups(contexts, cfg) if len(held) > 1 else ()
         if groups:
             for left, right, members in found:
                 if wide and (left >= cfg.span or left + right >= 2 * cfg.length):
@@ -333,13 +333,13 @@ def _arrays(classes: DataFrame, cfg: RepeatConfig, groups: bool, wide: bool = Fa
                     for col, v in zip(out, (held[i][1], held[i][2], -left, right, name)):
                         col.append(v)
             return
-        spans: dict[int, list] = {}
+        lo, hi = [0] * len(held), [0] * len(held)  # all repeats of a member hold the anchor, so together they are one span
         for left, right, members in found:
             for i in members:
-                spans.setdefault(i, []).append((-left, right))
-        for i, s in spans.items():
-            for a, z in _merge(s):
-                for col, v in zip(out, (held[i][1], held[i][2], a, z)):
+                lo[i], hi[i] = max(lo[i], left), max(hi[i], right)
+        for i, x in enumerate(held):
+            if hi[i]:
+                for col, v in zip(out, (x[1], x[2], -lo[i], hi[i])):
                     col.append(v)
 
     def run(batches):
@@ -358,7 +358,7 @@ def _arrays(classes: DataFrame, cfg: RepeatConfig, groups: bool, wide: bool = Fa
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
     rows = classes.repartition("h").sortWithinPartitions("h").select("h", "c1", "c2", "ctx", "left")
-    return rows.mapInArrow(run, "c1 long, c2 long, lo int, hi int" + ", repeat long" * groups)
+    return rows.mapInArrow(lean(run), "c1 long, c2 long, lo int, hi int" + ", repeat long" * groups)
 
 
 def _hot_windows(classes: DataFrame, cfg: RepeatConfig) -> DataFrame:
