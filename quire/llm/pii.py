@@ -8,8 +8,10 @@ same width, an e-mail keeps its top level, a phone its country code, and a name
 A surrogate is a function of a secret key, the type, the entity's canonical form and an attempt number, so that the same entity
 has the same surrogate everywhere without any join (coreference). Over the distinct entities alone, collisions are then looked
 for: a surrogate that two entities share, or that is itself an entity of the corpus, moves to the next attempt until none is
-left (distinctness). Only entities with an attempt above 0 have to be looked up: as one broadcast map within
-`broadcast_rows`, beyond it by a join of the texts that hold such an entity.
+left (distinctness). A person's gender is what all titles of the name tell together: if "Mr" and "Dr" stand before one name,
+both mentions get the same male surrogate; if titles contradict each other, a neutral one. Only entities with an attempt above 0
+or with titles that differ in gender have to be looked up: as one broadcast map within `broadcast_rows`, beyond it by a join of
+the texts that hold such an entity.
 
 Defined cases: null stays null, text without an entity stays as it is; equal texts become equal texts; repeated rows are
 replaced each for itself. `replaced` writes over the text column and adds `n_entities` (replacing a column of that name).
@@ -170,10 +172,14 @@ def overlaid(s: Column, digits: Column) -> Column:
     return F.aggregate(_chars(s), start, lambda a, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(a["o"], F.substring(digits, a["i"], F.lit(1))).alias("o"), (a["i"] + 1).alias("i"))).otherwise(F.struct(F.concat(a["o"], c).alias("o"), a["i"].alias("i"))))["o"]
 
 
-def _name(s: Column, seed: Column, attempt: Column) -> Column:
+def titled(s: Column) -> Column:
+    """The gender that a mention's title tells: m, f, or n for neither."""
+    bare = F.regexp_replace(F.regexp_extract(s, r"^(\S+) ", 1), r"\.", "")
+    return F.when(bare.isin(*_TITLES["m"]), "m").when(bare.isin(*_TITLES["f"]), "f").otherwise("n")
+
+
+def _name(s: Column, seed: Column, attempt: Column, gender: Column) -> Column:
     title, rest = F.regexp_extract(s, r"^(\S+ )", 1), F.regexp_replace(s, r"^\S+ ", "")
-    bare = F.regexp_replace(title, r"[. ]", "")
-    gender = F.when(bare.isin(*_TITLES["m"]), "m").when(bare.isin(*_TITLES["f"]), "f").otherwise("n")
     script = F.when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").when(rest.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     choose = lambda part, r: reduce(lambda c, sc: c.when(script == sc, part(sc, r)), ("cyrillic", "greek"), F.when(script == "latin", part("latin", r)))
     first = choose(lambda sc, r: F.when(gender == "m", _pick(_NAMES[sc, "m"], r, " ")).when(gender == "f", _pick(_NAMES[sc, "f"], r, " ")).otherwise(_pick(_NAMES[sc, "n"], r, " ")), F.xxhash64(seed, F.lit(0)))
@@ -189,8 +195,8 @@ def seeded(k: Column, canon: Column, attempt: Column, cfg: PiiConfig) -> Column:
     return F.sha2(F.concat_ws("\x00", F.lit(cfg.key), k, canon, attempt.cast("string")), 256)
 
 
-def surrogate(s: Column, k: Column, seed: Column, attempt: Column) -> Column:
-    """The surrogate of mention `s` of type `k`. All arguments are columns or fields, as they are used many times."""
+def surrogate(s: Column, k: Column, seed: Column, attempt: Column, gender: Column) -> Column:
+    """The surrogate of mention `s` of type `k`, of a person of that gender. All arguments are columns or fields, as they are used many times."""
     draw = lambda i: F.xxhash64(seed, i)
     email = F.concat(scrambled(F.regexp_extract(s, r"^(.*)\.[^.]*$", 1), seed), F.regexp_extract(s, r"(\.[^.]*)$", 1))
     octet = lambda o, i: F.when(F.length(o) == 1, 1 + F.pmod(draw(i), F.lit(9))).when(F.length(o) == 2, 10 + F.pmod(draw(i), F.lit(90))).otherwise(100 + F.pmod(draw(i), F.lit(156))).cast("string")
@@ -207,7 +213,7 @@ def surrogate(s: Column, k: Column, seed: Column, attempt: Column) -> Column:
     spaced = F.concat(country, iban_digits(country, bank), bank)
     iban = F.when(s.contains(" "), F.trim(F.regexp_replace(spaced, "(.{4})", "$1 "))).otherwise(spaced)
     secret = F.when(s.rlike("^[0-9a-fA-F]+$"), scrambled(s, seed, "abcdef")).otherwise(scrambled(s, seed))
-    return F.when(k == "email", email).when(k == "ip", ip).when(k == "phone", phone).when(k == "ssn", ssn).when(k == "card", card).when(k == "iban", iban).when(k == "name", _name(s, seed, attempt)).when(k == "secret", secret).otherwise(s)
+    return F.when(k == "email", email).when(k == "ip", ip).when(k == "phone", phone).when(k == "ssn", ssn).when(k == "card", card).when(k == "iban", iban).when(k == "name", _name(s, seed, attempt, gender)).when(k == "secret", secret).otherwise(s)
 
 
 def found(text: Column) -> Column:
@@ -223,18 +229,24 @@ def kinds(text: Column, forms: Column) -> Column:
 
 
 def entities(df: DataFrame, text: str = "text") -> DataFrame:
-    """The distinct entities: kind, canon, form (a mention, the smallest) and n mentions; summed before they are shuffled."""
+    """The distinct entities: kind, canon, form (a mention, the smallest), n mentions, gender (what its titles agree on, else n)
+    and mixed (a mention's title tells another gender); summed before they are shuffled."""
     rows = df.select(F.col(text).alias("text"), found(F.col(text)).alias("forms"))
     rows = rows.select(F.explode(kinds(F.col("text"), F.col("forms"))).alias("x")).select(F.col("x.s").alias("form"), F.col("x.k").alias("kind"))
-    return rows.filter("kind <> 'none'").select("kind", canonical(F.col("form"), F.col("kind")).alias("canon"), "form").groupBy("kind", "canon").agg(F.min("form").alias("form"), F.count("*").alias("n"))
+    rows = rows.filter("kind <> 'none'").withColumn("title", F.when(F.col("kind") == "name", titled(F.col("form"))).otherwise("n"))
+    told = [F.max(F.col("title") == g) for g in "mfn"]
+    sums = rows.groupBy("kind", canonical(F.col("form"), F.col("kind")).alias("canon")).agg(F.min("form").alias("form"), F.count("*").alias("n"), *[t.alias(g) for t, g in zip(told, "mfx")])
+    gender = F.when(F.col("m") & ~F.col("f"), "m").when(F.col("f") & ~F.col("m"), "f").otherwise("n")
+    mixed = F.col("m").cast("int") + F.col("f").cast("int") + F.col("x").cast("int") > 1
+    return sums.select("kind", "canon", "form", "n", gender.alias("gender"), mixed.alias("mixed"))
 
 
 def attempts(known: DataFrame, cfg: PiiConfig) -> DataFrame:
     """kind, canon, attempt of the entities whose first surrogate collides; empty if none does."""
     own = known.select("kind", F.col("canon").alias("value"))
-    open_, done, later = known.select("kind", "canon", "form"), None, None
+    open_, done, later = known.select("kind", "canon", "form", "gender"), None, None
     for n in range(cfg.max_attempts):
-        drawn = open_.withColumn("seed", seeded(F.col("kind"), F.col("canon"), F.lit(n), cfg)).withColumn("value", surrogate(F.col("form"), F.col("kind"), F.col("seed"), F.lit(n)))
+        drawn = open_.withColumn("seed", seeded(F.col("kind"), F.col("canon"), F.lit(n), cfg)).withColumn("value", surrogate(F.col("form"), F.col("kind"), F.col("seed"), F.lit(n), F.col("gender")))
         drawn = drawn.withColumn("value", canonical(F.col("value"), F.col("kind")))
         taken = own if done is None else own.unionByName(done)
         claims = taken.select("kind", "value", F.lit(1).alias("blocked"), F.lit(None).cast("string").alias("canon")).unionByName(drawn.select("kind", "value", F.lit(0).alias("blocked"), "canon"))
@@ -253,7 +265,9 @@ def attempts(known: DataFrame, cfg: PiiConfig) -> DataFrame:
 
 def replaced(df: DataFrame, text: str = "text", cfg: PiiConfig = PiiConfig(), count: str | None = "n_entities") -> DataFrame:
     """`df` with every entity in `text` replaced, and the number of mentions in column `count`."""
-    later = cut(attempts(cut(entities(df, text)), cfg))
+    known = cut(entities(df, text))
+    later = known.join(attempts(known, cfg), ["kind", "canon"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0)))
+    later = cut(later.filter("attempt > 0 or mixed").select("kind", "canon", "attempt", "gender"))
     n_later = later.count()
     t = F.col(text)
     forms, look = free_name(df.columns, "__forms"), free_name(df.columns, "__later")
@@ -261,10 +275,10 @@ def replaced(df: DataFrame, text: str = "text", cfg: PiiConfig = PiiConfig(), co
     rows = df.withColumn(forms, found(t)).withColumn(forms, kinds(t, F.col(forms)))
     rows = rows.withColumn(forms, F.transform(forms, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), canonical(x["s"], x["k"]).alias("c"))))
     key = lambda x: F.concat(x["k"], F.lit("\x00"), x["c"])
-    entry = F.struct(F.concat("kind", F.lit("\x00"), "canon").alias("k"), "attempt")
-    attempt = lambda x: F.coalesce(F.try_element_at(F.col(look), key(x)), F.lit(0))
+    entry = F.struct(F.concat("kind", F.lit("\x00"), "canon").alias("k"), F.struct("attempt", "gender").alias("v"))
+    hit = lambda x: F.try_element_at(F.col(look), key(x))
     if n_later == 0:
-        attempt = lambda x: F.lit(0)
+        hit = lambda x: F.lit(None).cast("struct<attempt:int,gender:string>")
     elif n_later <= cfg.broadcast_rows:
         one = later.agg(F.map_from_entries(F.collect_list(entry)).alias(look))  # one row, n_later entries at most
         rows = rows.crossJoin(F.broadcast(one))
@@ -272,11 +286,12 @@ def replaced(df: DataFrame, text: str = "text", cfg: PiiConfig = PiiConfig(), co
         # texts are named by their hash; a text's own entities are all that its map holds
         rows = rows.withColumn("__text_key", F.sha2(t, 256))
         mentions = rows.filter(F.size(forms) > 0).select("__text_key", F.explode(F.array_distinct(F.transform(forms, key))).alias("k"))
-        maps = mentions.distinct().join(later.select(entry["k"].alias("k"), "attempt"), "k").groupBy("__text_key").agg(F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias(look))
+        maps = mentions.distinct().join(later.select(entry["k"].alias("k"), entry["v"].alias("v")), "k").groupBy("__text_key").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias(look))
         rows = rows.join(cut(maps), "__text_key", "left").drop("__text_key")
-    rows = rows.withColumn(forms, F.transform(forms, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["c"].alias("c"), attempt(x).alias("n"))))
-    rows = rows.withColumn(forms, F.transform(forms, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), seeded(x["k"], x["c"], x["n"], cfg).alias("seed"), x["n"].alias("n"))))
-    subs = F.transform(F.col(forms), lambda x: surrogate(x["s"], x["k"], x["seed"], x["n"]))
+    rows = rows.withColumn(forms, F.transform(forms, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["c"].alias("c"), hit(x).alias("v"))))
+    rows = rows.withColumn(forms, F.transform(forms, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["c"].alias("c"), F.coalesce(x["v"]["attempt"], F.lit(0)).alias("n"), F.coalesce(x["v"]["gender"], titled(x["s"])).alias("g"))))
+    rows = rows.withColumn(forms, F.transform(forms, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), seeded(x["k"], x["c"], x["n"], cfg).alias("seed"), x["n"].alias("n"), x["g"].alias("g"))))
+    subs = F.transform(F.col(forms), lambda x: surrogate(x["s"], x["k"], x["seed"], x["n"], x["g"]))
     new = F.array_join(F.zip_with(F.split(t, ANY, -1), subs, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     out = {text: F.when(F.size(forms) == 0, t).otherwise(new)}
     if count:

@@ -268,6 +268,24 @@ def test_surrogates_stay_distinct(spark):
     assert [r["text"] for r in far] == [r["text"] for r in got]
 
 
+def test_one_surrogate_for_a_person_under_several_titles(spark):
+    """People named once with a gendered and once with a neutral title keep one name, of their gender; contradicting titles, a neutral one."""
+    codes = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(60)]
+    rows = [(i, f"Mr. John{c} Smith met Dr. John{c} Smith; Prof. Ann{c} Roe saw Mrs. Ann{c} Roe") for i, c in enumerate(codes)] + [(999, "Mr. Kim Doe or Mrs. Kim Doe")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    names = {g: set(pii._NAMES["latin", g].split()) for g in "mfn"}
+    for cfg in (pii.PiiConfig(), pii.PiiConfig(broadcast_rows=1)):
+        seen = set()
+        for r in pii.replaced(df, cfg=cfg).filter("doc_id < 999").collect():
+            a, b, c, d = re.match(r"Mr\. (\S+ \S+) met Dr\. (\S+ \S+); Prof\. (\S+ \S+) saw Mrs\. (\S+ \S+)$", r["text"]).groups()
+            assert a == b and c == d and a.split()[0] in names["m"] and c.split()[0] in names["f"]
+            seen |= {a, c}
+        assert len(seen) == 120
+    kim = pii.replaced(df).filter("doc_id = 999").first()["text"]
+    a, b = re.match(r"Mr\. (\S+ \S+) or Mrs\. (\S+ \S+)$", kim).groups()
+    assert a == b and a.split()[0] in names["n"]
+
+
 def test_surrogates_of_the_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     kinds = pii.entities(docs).groupBy("kind").count().collect()
