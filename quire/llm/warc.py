@@ -4,13 +4,15 @@
 `min_revisit` bytes are stored once, by the smallest page_id, and revisited by the others. `build_index` range-sorts the captures
 by reversed-host URL key, writes them as compressed blocks of lines and keeps a sparse directory: per index part and block the
 first and last key, and the block's place. `lookup` bisects the parts, then the part's blocks, reads the one block by range,
-bisects its lines and reads the records by range. `read_back` walks the directory's blocks and reads every capture so.
+bisects its lines and reads the records by range. `resolve` does so for a table of URLs, in the tasks: the first level alone, one
+entry per index part, is held by the driver; a part's blocks are listed in a small file beside them. `read_back` walks all blocks.
 
 Files go to the shared folder through pyarrow's file systems (file, s3, gs, hdfs); an archive's name holds the attempt, and only
 names of finished tasks are indexed, so a lost executor leaves no wrong records.
 
 Defined cases: a null html is an empty payload; a null url has the empty key; repeated rows are stored each for itself, those
 with the smallest page_id all as responses; a null page_id is never the one that others revisit. An empty table gives an empty index.
+A URL that was not captured gives no row; one captured several times gives all its captures, once, however often it is asked for.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import bisect
 import gzip
 import hashlib
+import itertools
 import json
 import re
 import uuid
@@ -31,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, stored
+from .common import batched, cut, shared_dir, stored
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -142,7 +145,7 @@ def write(pages: DataFrame, cfg: WarcConfig = WarcConfig(), page_id: str = "page
 
 
 def build_index(captures: DataFrame, cfg: WarcConfig = WarcConfig()) -> DataFrame:
-    """Writes the compressed blocks; returns the directory: part, block, first_key, last_key, file, offset, length, lines."""
+    """Writes the compressed blocks; returns the directory: part, block, first_key, last_key, file, offset, length, lines, listing (the part's list of blocks)."""
     folder = f"{shared_dir(captures.sparkSession)}/quire/index-{uuid.uuid4().hex}"
     order = ["key", "page_id", "file", "offset"]
     rows = captures.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -174,11 +177,16 @@ def build_index(captures: DataFrame, cfg: WarcConfig = WarcConfig()) -> DataFram
             rows_.append(block())
         if out is not None:
             out.close()
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-        cols = list(zip(*rows_)) if rows_ else [()] * 8
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["part", "block", "first_key", "last_key", "file", "offset", "length", "lines"])
+            listing = name.removesuffix(".cdx.gz") + ".blocks.gz"
+            fs, path = pafs.FileSystem.from_uri(listing)
+            with fs.open_output_stream(path, compression=None) as f:
+                f.write(gzip.compress("\n".join(json.dumps([a, z, file, at, size]) for _, _, a, z, file, at, size, _ in rows_).encode(), cfg.level, mtime=0))
+            rows_ = [(*x, listing) for x in rows_]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        cols = list(zip(*rows_)) if rows_ else [()] * 9
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["part", "block", "first_key", "last_key", "file", "offset", "length", "lines", "listing"])
 
-    return stored(rows.mapInArrow(run, "part long, block long, first_key string, last_key string, file string, offset long, length long, lines long"), "directory")
+    return stored(rows.mapInArrow(run, "part long, block long, first_key string, last_key string, file string, offset long, length long, lines long, listing string"), "directory")
 
 
 def _open(uri: str, cache: dict):
@@ -194,6 +202,29 @@ def _range(uri: str, offset: int, length: int, cache: dict) -> bytes:
     return zlib.decompress(_open(uri, cache).read_at(length, offset), 31)
 
 
+_FIELDS = {"page_id": "page_id", "payload_bytes": "size", "payload_digest": "digest", "record_type": "type", "refers_to": "refers_to", "url": "uri"}
+_CAPTURE = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string"
+
+
+def _lines(file: str, offset: int, length: int, cache: dict) -> list[list]:
+    """The lines of an index block."""
+    return [json.loads(x) for x in _range(file, offset, length, cache).decode().split("\n")]
+
+
+def _captured(lines: list[list], cache: dict) -> pa.RecordBatch:
+    """The records of some index lines, in the order of their places; digests are checked, payloads not held."""
+    got = {k: [] for k in _FIELDS}
+    for _, file, offset, length, _, _ in sorted(lines, key=lambda x: (x[1], x[2])):
+        one = parse(_range(file, offset, length, cache))
+        for k, field in _FIELDS.items():
+            got[k].append(one[field])
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k == "payload_bytes" else pa.string()) for k, v in got.items()], names=list(got))
+
+
+def _typed(out: DataFrame, id_type: str) -> DataFrame:
+    return out.withColumns({"page_id": F.col("page_id").cast(id_type), "refers_to": F.col("refers_to").cast(id_type)})
+
+
 def read_back(directory: DataFrame, id_type: str = "bigint") -> DataFrame:
     """Every capture by the index: page_id, payload_bytes, payload_digest, record_type, refers_to, url. Digests are checked on reading."""
     rows = directory.select("file", "offset", "length").repartition(max(1, directory.sparkSession.sparkContext.defaultParallelism * 2))
@@ -202,17 +233,65 @@ def read_back(directory: DataFrame, id_type: str = "bigint") -> DataFrame:
         cache: dict = {}
         for b in batches:
             for x in b.to_pylist():
-                lines = [json.loads(s) for s in _range(x["file"], x["offset"], x["length"], cache).decode().split("\n")]
-                got = [parse(_range(f, o, n, cache)) for _, f, o, n, _, _ in sorted(lines, key=lambda s: (s[1], s[2]))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([g["page_id"] for g in got], pa.string()), pa.array([g["size"] for g in got], pa.int64()), pa.array([g["digest"] for g in got], pa.string()), pa.array([g["type"] for g in got], pa.string()), pa.array([g["refers_to"] for g in got], pa.string()), pa.array([g["uri"] for g in got], pa.string())],
-                    names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"],
-                )
+                yield _captured(_lines(x["file"], x["offset"], x["length"], cache), cache)
         for f in cache.values():
             f.close()
 
-    out = rows.mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string")
-    return out.withColumns({"page_id": F.col("page_id").cast(id_type), "refers_to": F.col("refers_to").cast(id_type)})
+    return _typed(rows.mapInArrow(run, _CAPTURE), id_type)
+
+
+def resolve(directory: DataFrame, urls: DataFrame, id_type: str = "bigint", url: str = "url") -> DataFrame:
+    """The captures of all URLs in `urls`, as `read_back` gives them, by bisection of parts, blocks and lines.
+
+    The distinct keys are range-sorted, so that a task meets each part and block once; what it sends on is a block's place with
+    the keys to look for there. These rows are dealt evenly, so a URL with very many captures is read by many tasks.
+    """
+    spark = directory.sparkSession
+    first = directory.groupBy("part").agg(F.min("first_key").alias("a"), F.max("last_key").alias("z"), F.first("listing").alias("f")).collect()  # one row per index part
+    sent = spark.sparkContext.broadcast(sorted((r["a"], r["z"], r["f"]) for r in first))
+
+    def keyed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in b.column(0).to_pylist()], pa.string())], names=["key"])
+
+    keys = urls.select(F.col(url).cast("string")).mapInArrow(keyed, "key string").distinct().repartitionByRange("key").sortWithinPartitions("key")
+
+    def find(batches):
+        top = sent.value
+        ends = [z for _, z, _ in top]
+
+        def blocks():
+            part, listed, lasts = -1, [], []
+            for b in batches:
+                for key in b.column("key").to_pylist():
+                    at = bisect.bisect_left(ends, key)
+                    while at < len(top) and top[at][0] <= key:
+                        if at != part:
+                            fs, path = pafs.FileSystem.from_uri(top[at][2])
+                            with fs.open_input_file(path) as f:
+                                part, listed = at, [json.loads(x) for x in zlib.decompress(f.read(), 31).decode().split("\n")]
+                            lasts = [x[1] for x in listed]
+                        i = bisect.bisect_left(lasts, key)
+                        while i < len(listed) and listed[i][0] <= key:
+                            yield tuple(listed[i][2:]), key
+                            i += 1
+                        at += 1
+
+        wanted = ((*place, [key for _, key in same]) for place, same in itertools.groupby(blocks(), lambda x: x[0]))
+        yield from batched(wanted, [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string())], ["file", "offset", "length", "keys"], size=lambda x: sum(map(len, x[3])))
+
+    def fetch(batches):
+        cache: dict = {}
+        for b in batches:
+            for x in b.to_pylist():
+                lines = _lines(x["file"], x["offset"], x["length"], cache)
+                own = [line[0] for line in lines]
+                yield _captured([line for key in x["keys"] for line in lines[bisect.bisect_left(own, key) : bisect.bisect_right(own, key)]], cache)
+        for f in cache.values():
+            f.close()
+
+    places = keys.mapInArrow(find, "file string, offset long, length long, keys array<string>").repartition(max(1, spark.sparkContext.defaultParallelism * 2))
+    return _typed(places.mapInArrow(fetch, _CAPTURE), id_type)
 
 
 def parts(directory: DataFrame) -> list[tuple[str, str, int]]:
@@ -240,5 +319,5 @@ def lookup(directory: DataFrame, url: str, first: list[tuple[str, str, int]] | N
 
 
 def archive_and_read(spark: SparkSession, pages: DataFrame, cfg: WarcConfig = WarcConfig()) -> DataFrame:
-    """Writes the archives and the index of `pages`, then reads every capture back."""
-    return read_back(build_index(write(pages, cfg), cfg), dict(pages.dtypes)["page_id"])
+    """Writes the archives and the index of `pages`, then looks all their URLs up in it and reads the captures back."""
+    return resolve(build_index(write(pages, cfg), cfg), pages, dict(pages.dtypes)["page_id"])

@@ -340,13 +340,21 @@ def test_warc_round_trip_and_lookup(spark):
         again = len(b) >= 100 and i != first[b]
         want[i, len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", first[b] if again else None] += 1
     assert got == want
+    asked = df.select("url").unionByName(df.select("url")).unionByName(spark.createDataFrame([("http://nowhere.example.com/",)], "url string"))
+    assert Counter(warc.resolve(directory, asked).collect()) == Counter(back)
+    some = [u for _, u, _ in pages[::9]]
+    by_key = Counter(r for r in back if warc.url_key(r["url"]) in {warc.url_key(u) for u in some})
+    assert Counter(warc.resolve(directory, df.filter(F.col("url").isin([u for u in some if u]))).collect()) == by_key
+    hot = df.withColumn("url", F.lit("http://one.example.com/"))
+    assert warc.resolve(warc.build_index(warc.write(hot, cfg), cfg), hot.limit(1)).count() == len(pages)
+    assert warc.resolve(directory, df.limit(0)).count() == 0
     top = warc.parts(directory)
     for i, url, html in pages[:60:13]:
         hit = warc.lookup(directory, url, top)
         assert [(h["page_id"], h["payload"].decode()) for h in hit] == [(str(i), html)]
     assert warc.lookup(directory, "http://nowhere.example.com/") == []
     assert warc.url_key("https://User@M.A.example:443/x?y#z") == "example,a,m)/x?y"
-    assert warc.read_back(warc.build_index(warc.write(df.limit(0), cfg), cfg)).count() == 0
+    assert warc.archive_and_read(spark, df.limit(0), cfg).count() == 0
 
 
 def test_pipeline_stages(spark):
