@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,7 +62,9 @@ def pipeline(kind: str, n_rows: int) -> Pipeline:
     stages = [
         StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep"),
         VectorAssembler(inputCols=FT.NAMES, outputCol="raw"),
-        StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
+        StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True),
+        # the scaler divides by the sample deviation; the features are scaled by the population's
+        ElementwiseProduct(scalingVec=Vectors.dense([(n_rows / max(1, n_rows - 1)) ** 0.5] * len(FT.NAMES)), inputCol="scaled", outputCol="features"),
     ]
     if kind == "logistic_regression":
         stages.append(LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", family="multinomial", regParam=1.0 / max(1, n_rows), elasticNetParam=0.0, standardization=False, maxIter=1500, probabilityCol="probability"))
@@ -116,6 +119,6 @@ def predicted(df: DataFrame, model: PipelineModel) -> DataFrame:
     labels = F.array(*[F.lit(x) for x in names])
     out = out.withColumns({"ml_type": F.get(labels, argmax(F.col("__p"))), "ml_confidence": F.array_max("__p"), "ml_probabilities": F.map_from_arrays(labels, "__p")})
     out = out.withColumns({c: F.col(f"__{c}") for c in FT.NAMES})
-    return out.drop("raw", "features", "rawPrediction", "probability", "prediction", "__p", *[f"__{c}" for c in FT.NAMES])
+    return out.drop("raw", "scaled", "features", "rawPrediction", "probability", "prediction", "__p", *[f"__{c}" for c in FT.NAMES])
 
 

@@ -269,13 +269,14 @@ CTES: dict[str, str] = {
     "s": f"select *, {_smooth_case(1, 'label')} as final_label, {_smooth_case(2, 'conf')} as final_conf, {_smooth_case(3, q('initial_prediction'))} as smooth_reason from s4",
     "det": detector(),
     "tok": r"select doc_id, idx, array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\x0B\f]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) as token from man",
-    "out": "select doc_id, idx, case when idx % 10 = 0 then upper(token) else token end as token from (select *, max(idx) over (partition by doc_id) as last from tok) where not (doc_id % 3 = 0 and idx = last) union all select doc_id, max(idx) + 1, 'added' from tok where doc_id % 7 = 1 group by doc_id",
+    # DuckDB keeps a sharp s in capitals, where Unicode's full mapping has SS
+    "out": "select doc_id, idx, case when idx % 10 = 0 then upper(replace(token, 'ß', 'SS')) else token end as token from (select *, max(idx) over (partition by doc_id) as last from tok) where not (doc_id % 3 = 0 and idx = last) union all select doc_id, max(idx) + 1, 'added' from tok where doc_id % 7 = 1 group by doc_id",
 }
 
 
-def sql(body: str) -> str:
-    """`body` with the whole chain before it; what it doesn't use is not run."""
-    return "with " + ",\n".join(f"{k} as ({v})" for k, v in CTES.items()) + "\n" + body
+def sql(body: str, **changed: str) -> str:
+    """`body` with the whole chain before it, some of its tables changed; what it doesn't use is not run."""
+    return "with " + ",\n".join(f"{k} as ({v})" for k, v in (CTES | changed).items()) + "\n" + body
 
 
 FEATURE_COLUMNS, NLP_COLUMNS = list(_feature_sql), list(_nlp_sql)
