@@ -1,10 +1,14 @@
 """Layout-aware rendering of HTML: all visible text, with block spacing, list markers and aligned table cells.
 
 A tokenizer and a tree builder with implied tags (html, head, body, tbody, tr; unclosed p, li, dt, dd, option, cells and rows)
-make a tree; visibility rules drop what a browser doesn't show (head, scripts, templates, `hidden`, `display:none` and
-`visibility:hidden`, inline or by a simple selector of a style sheet, closed dialogs); the rest is laid out: paragraphs, headings,
-lists and tables stand apart by an empty line, other blocks by a line end, `pre` keeps its white space, `ol` counts, nested lists
-are indented, table cells are padded to their column's width (up to 60 characters, so that padding stays bounded).
+make a tree; visibility rules drop what a browser doesn't show: head, scripts, templates, `hidden`, closed dialogs, all but the
+summary of closed `details`, and what `display` and `visibility` hide. These two are read from inline styles and style sheets, by
+importance, specificity and order; selectors may be made of tags, classes, ids, attributes (present or equal), descendants and
+children, and rules with other selectors are left out. `display:none` takes all that is inside, `visibility` is inherited. The
+rest is laid out: paragraphs, headings, lists and tables stand apart by an empty line, other blocks by a line end, `pre` keeps its
+white space, `ol` counts, nested lists are indented, and table cells begin at their column. A column is as wide as its longest
+cell, but 60 characters at most, so that padding stays bounded: after a longer cell the row goes on in the next line, still in
+the next cell's column.
 
 Defined cases: null gives null; an empty page or one without visible text gives an empty string; a tag that never ends hides the
 rest, as in browsers; nothing recurses, so depth is not limited. Repeated rows are rendered each for itself.
@@ -26,8 +30,10 @@ _TAG = re.compile(
 _ATTR = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _BLANK = re.compile(r"[ \t\n\f\r]+")
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_UNSEEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-_SELECTOR = re.compile(r"[a-zA-Z][\w-]*|[.#][\w-]+")
+_DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)[^;!]*(!\s*important)?", re.I)
+_COMPOUND = re.compile(r"""(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+|\[\s*[\w-]+\s*(?:=\s*(?:"[^"]*"|'[^']*'|[\w-]+)\s*)?\])*)""")
+_SIMPLE = re.compile(r"""([.#])([\w-]+)|\[\s*([\w-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([\w-]+))\s*)?\]""")
+_STEP = re.compile(r"\s*>\s*|\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param keygen frame".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
@@ -271,27 +277,106 @@ def _applies(rule: str) -> bool:
     return rule.startswith(("@layer", "@supports"))
 
 
-def hidden_selectors(sheets: list[str]) -> set[str]:
-    """Simple selectors (tag, .class, #id) that a style sheet hides."""
-    out: set[str] = set()
+def _declared(style: str) -> list[tuple[str, str, bool]]:
+    """(property, value, important) of the declarations that bear on visibility."""
+    return [(m[1].lower(), m[2].lower(), bool(m[3])) for m in _DECLARED.finditer(style)]
+
+
+def _hides(name: str, value: str) -> bool:
+    return value == "none" if name == "display" else value in ("hidden", "collapse")
+
+
+def _rules(sheets: list[str]):
+    """(selector, declarations) of the rules that bear on visibility, in order."""
     for sheet in sheets:
         for m in _RULE.finditer(_on_screen(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S))):
-            if _UNSEEN.search(m[2]):
-                out.update(s for x in m[1].split(",") if _SELECTOR.fullmatch(s := x.strip()))
-    return out
+            if said := _declared(m[2]):
+                for selector in m[1].split(","):
+                    yield selector.strip(), said
 
 
-def visible(node: Node, rules: set[str]) -> bool:
-    if node.tag in NEVER:
-        return False
+def hidden_selectors(sheets: list[str]) -> set[str]:
+    """The selectors that a style sheet hides."""
+    return {selector for selector, said in _rules(sheets) if any(_hides(name, value) for name, value, _ in said)}
+
+
+class Styles:
+    """The rules of a page. A selector is a chain of parts; a node's state tells which parts it matches with all that they need
+    above it, so that a node is matched in one step from its parent's state, however deep it is."""
+
+    def __init__(self, sheets: list[str]):
+        self.parts: list[tuple] = []  # tag, classes, id, attributes, part before, must be the parent's
+        self.by_key: dict[str, list[int]] = {}
+        self.said: dict[int, list[tuple]] = {}  # last part -> (property, value, weight)
+        for order, (selector, said) in enumerate(_rules(sheets)):
+            if (last := self._add(selector)) is not None:
+                part, weight = last
+                self.said.setdefault(part, []).extend((name, value, (important, 0, *weight, order)) for name, value, important in said)
+
+    def _add(self, selector: str) -> tuple[int, tuple[int, int, int]] | None:
+        """The last part of a selector and its specificity."""
+        texts, steps, at = [], [], 0
+        for m in _STEP.finditer(re.sub(r"\[[^\]]*\]", lambda x: re.sub(r"\s+", "\x00", x[0]), selector)):
+            texts.append(selector[at : m.start()])
+            steps.append(">" in m[0])
+            at = m.end()
+        texts.append(selector[at:])
+        found = []
+        for text in texts:
+            m = _COMPOUND.fullmatch(text)
+            if not text or not m:
+                return None
+            classes, ids, attrs = set(), set(), []
+            for x in _SIMPLE.finditer(m[2]):
+                if x[1]:
+                    (classes if x[1] == "." else ids).add(x[2])
+                else:
+                    attrs.append((x[3].lower(), next((v for v in x.groups()[3:] if v is not None), None)))
+            found.append((None if m[1] in (None, "*") else m[1].lower(), classes, ids, attrs))
+        before = None
+        for k, (tag, classes, ids, attrs) in enumerate(found):
+            self.parts.append((tag, classes, ids, attrs, before, k > 0 and steps[k - 1]))
+            before = len(self.parts) - 1
+            key = "#" + min(ids) if ids else "." + min(classes) if classes else tag or "*"
+            self.by_key.setdefault(key, []).append(before)
+        return before, (sum(len(x[2]) for x in found), sum(len(x[1]) + len(x[3]) for x in found), sum(x[0] is not None for x in found))
+
+    def match(self, node: Node, parent: int, above: int) -> int:
+        """Bits of the parts that a node matches; parent: its parent's, above: those of any node above."""
+        a, own = node.attrs, 0
+        classes = a["class"].split() if "class" in a else ()
+        for key in ("*", node.tag, "#" + a.get("id", ""), *("." + c for c in set(classes))):
+            for p in self.by_key.get(key, ()):
+                tag, need, ids, attrs, before, child = self.parts[p]
+                if (
+                    (tag is None or tag == node.tag) and need.issubset(classes) and ids <= {a.get("id")}
+                    and all(n in a and v in (None, a[n]) for n, v in attrs)
+                    and (before is None or (parent if child else above) >> before & 1)
+                ):
+                    own |= 1 << p
+        return own
+
+    def of(self, node: Node, own: int) -> dict[str, str]:
+        """The winning `display` and `visibility` of a node."""
+        won: dict[str, tuple] = {}
+        if own:
+            for p, said in self.said.items():
+                if own >> p & 1:
+                    for name, value, weight in said:
+                        if name not in won or weight >= won[name][0]:
+                            won[name] = weight, value
+        if "style" in node.attrs:
+            for name, value, important in _declared(node.attrs["style"]):
+                weight = (important, 1, 0, 0, 0, 0)
+                if name not in won or weight >= won[name][0]:
+                    won[name] = weight, value
+        return {name: value for name, (_, value) in won.items()}
+
+
+def present(node: Node, style: dict[str, str]) -> bool:
+    """Whether a node has a box at all."""
     a = node.attrs
-    if not a and not rules:
-        return node.tag != "dialog"
-    if "hidden" in a or node.tag == "dialog" and "open" not in a or node.tag == "input":
-        return False
-    if "style" in a and _UNSEEN.search(a["style"]):
-        return False
-    return not rules or not (node.tag in rules or "#" + a.get("id", "") in rules or any("." + c in rules for c in a.get("class", "").split()))
+    return not (node.tag in NEVER or node.tag == "input" or "hidden" in a or node.tag == "dialog" and "open" not in a or style.get("display") == "none")
 
 
 class Flow:
@@ -342,7 +427,7 @@ class Flow:
 
 
 def lay_out(rows: list[list[tuple[str, int, int]]]) -> list[str]:
-    """Lines of a table from its rows of (text, colspan, rowspan)."""
+    """Lines of a table from its rows of (text, colspan, rowspan). A cell that reaches into the next one's column ends its line."""
     placed: list[dict[int, tuple[str, int]]] = [{} for _ in rows]
     busy: list[set[int]] = [set() for _ in rows]
     for r, row in enumerate(rows):
@@ -371,7 +456,10 @@ def lay_out(rows: list[list[tuple[str, int, int]]]) -> list[str]:
             line = ""
             for c in sorted(split):
                 if k < len(split[c]) and split[c][k]:
-                    line = (line + "  " if line and len(line) + 2 > start[c] else line.ljust(start[c])) + split[c][k]
+                    if line and len(line) + 2 > start[c]:
+                        out.append(line)
+                        line = ""
+                    line = line.ljust(start[c]) + split[c][k]
             out.append(line)
     return out
 
@@ -381,7 +469,8 @@ def render(html: str | None) -> str | None:
     if html is None:
         return None
     root, sheets = build(html)
-    rules = hidden_selectors(sheets)
+    styles = Styles(sheets)
+    states: list[tuple[int, int, bool]] = [(0, 0, True)]  # of the open nodes: parts matched, those of any above, shown
     flows = [Flow()]
     tables: list[list] = []
     lists: list[list] = []
@@ -392,6 +481,8 @@ def render(html: str | None) -> str | None:
         node, leaving = todo.pop()
         flow = flows[-1]
         if node.__class__ is str:
+            if not states[-1][2]:
+                continue
             if keep:
                 flow.pre(node)
             else:
@@ -399,7 +490,10 @@ def render(html: str | None) -> str | None:
             continue
         tag = node.tag
         if not leaving:
-            if not visible(node, rules):
+            parent, above, shown = states[-1]
+            own = styles.match(node, parent, above) if styles.parts else 0
+            style = styles.of(node, own) if own or "style" in node.attrs else {}
+            if not present(node, style):
                 continue
             if tag == "br":
                 flow.hard += 1
@@ -436,9 +530,15 @@ def render(html: str | None) -> str | None:
                 tables[-1].append([])
             elif tag in ("td", "th") and tables:
                 flows.append(Flow())
+            seen = style.get("visibility", "inherit")
+            states.append((own, above | own, shown if seen in ("inherit", "unset") else not _hides("visibility", seen)))
+            kids = node.kids
+            if tag == "details" and "open" not in node.attrs:
+                kids = [k for k in kids if k.__class__ is not str and k.tag == "summary"][:1]
             todo.append((node, True))
-            todo.extend((k, False) for k in reversed(node.kids))
+            todo.extend((k, False) for k in reversed(kids))
             continue
+        states.pop()
         if tag in ("ul", "ol", "menu", "dir"):
             lists.pop()
         elif tag == "li":

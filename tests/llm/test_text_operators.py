@@ -156,6 +156,33 @@ def test_html_at_rules_and_odd_end_tags():
     assert htmltext.render("<style>@media print{nav{display:none}}</style><nav>menu</nav>") == "menu"
 
 
+def test_html_selectors_and_cascade():
+    show = lambda css, body: htmltext.render(f"<style>{css}</style>{body}")
+    nested = "<div class='a'><p><b class='b'>x</b></p></div><b class=b>y</b>"
+    assert show(".a .b{display:none}", nested) == "y"
+    assert show("div > b{display:none}", nested) == "x\n\ny"
+    assert show("p>b{display:none}", nested) == "y"
+    assert show("b.b.c, b.b[title]{display:none}", "<b class=b>x</b> <b class='c b'>y</b> <b class=b title=''>z</b>") == "x"
+    assert show("[role=x y], i[role='x y']{display:none}", "<i role='x y'>x</i> <b role='x y'>y</b>") == "y"
+    assert show(".a{display:none} .a{display:block}", "<b class=a>x</b>") == "x"
+    assert show("#i{display:none} .a.b{display:inline}", "<b class='a b' id=i>x</b>y") == "y"
+    assert show(".a{display:none!important}", "<b class=a style='display:inline'>x</b>y") == "y"
+    assert show(".a{display:none}", "<b class=a style='display:inline'>x</b>") == "x"
+    assert show("b:hover, a + b, a ~ b{display:none}", "<a>w</a><b>x</b>") == "wx"
+    assert show(".h{visibility:hidden} .s{visibility:visible}", "<p class=h>x <b class=s>y</b> z") == "y"
+    assert show("div div div i{display:none}", "<div><div><i>x</i></div></div><div><div><div><u><i>y</i></u></div></div></div>") == "x"
+    assert show("div div{color:red} div i{display:none}", "<div>" * 20_000 + "<i>x</i>y") == "y"
+
+
+def test_html_details_and_long_cells():
+    assert htmltext.render("<details><summary>s</summary>hidden<p>too</details>t") == "s\nt"
+    assert htmltext.render("<details open><summary>s</summary>shown</details>") == "s\nshown"
+    wide = "w" * 70
+    got = htmltext.render(f"<table><tr><td>a<td>b<td>c<tr><td>{wide}<td>d<td>e<tr><td>{'v' * 58}<td>f<td>g</table>")
+    pad = " " * 62
+    assert got.split("\n") == ["a" + " " * 61 + "b  c", wide, pad + "d  e", "v" * 58 + "    f  g"]
+
+
 def test_html_words_against_a_plain_parser(spark):
     from html.parser import HTMLParser
 
