@@ -3,7 +3,8 @@
 Detected: e-mail addresses, phone numbers, IPv4 addresses, card numbers, social security numbers, IBANs, quoted secrets and
 names after a title. Each entity is replaced by a surrogate of its own type that keeps its format: separators, length, letter
 case and script stay, a card keeps a valid check digit, an IBAN valid check digits (numbers that fail the check are none), an address has octets of the
-same width, an e-mail keeps its top level, a phone its country code, and a name its title, gender and script.
+same width, an e-mail keeps its top level, a phone its country code, and a name its title, gender and script. A phone written
+without a country code is taken for one of country 1, so that both ways of writing it are one entity.
 
 A surrogate is a function of a secret key, the type, the entity's canonical form and an attempt number, so that the same entity
 has the same surrogate everywhere without any join (coreference). Over the distinct entities alone, collisions are then looked
@@ -58,6 +59,8 @@ def _combined() -> str:
 #: Group 1 is a secret's, whatever else its characters look like.
 ANY = _combined()
 _SECRET_KEY = r"""(?i:token|secret|passwd|password|api_key|apikey|api-key)\s{0,3}[=:]\s{0,3}["']"""
+#: Country codes of one and two digits; all others have three.
+_COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: A text without any of these holds no entity; two cheap scans.
 HINTS = (r"[@0-9\"']", rf"(?<!\p{{L}})(?:{_TITLE})\.? ")
 
@@ -140,7 +143,8 @@ def kind(s: Column) -> Column:
 
 def canonical(s: Column, k: Column) -> Column:
     """What two mentions of one entity have in common."""
-    return F.when(k.isin("phone", "card", "ssn"), F.regexp_replace(s, "[^0-9]", "")).when(k == "iban", F.regexp_replace(s, " ", "")).when(k == "secret", s).when(k == "name", F.lower(F.regexp_replace(s, r"^\S+ ", ""))).otherwise(F.lower(s))
+    digits = F.regexp_replace(s, "[^0-9]", "")
+    return F.when(k == "phone", F.when(s.startswith("+"), digits).otherwise(F.concat(F.lit("1"), digits))).when(k.isin("card", "ssn"), digits).when(k == "iban", F.regexp_replace(s, " ", "")).when(k == "secret", s).when(k == "name", F.lower(F.regexp_replace(s, r"^\S+ ", ""))).otherwise(F.lower(s))
 
 
 def _pick(options: str, r: Column, sep: str | None = None) -> Column:
@@ -201,8 +205,9 @@ def surrogate(s: Column, k: Column, seed: Column, attempt: Column, gender: Colum
     email = F.concat(scrambled(F.regexp_extract(s, r"^(.*)\.[^.]*$", 1), seed), F.regexp_extract(s, r"(\.[^.]*)$", 1))
     octet = lambda o, i: F.when(F.length(o) == 1, 1 + F.pmod(draw(i), F.lit(9))).when(F.length(o) == 2, 10 + F.pmod(draw(i), F.lit(90))).otherwise(100 + F.pmod(draw(i), F.lit(156))).cast("string")
     ip = F.array_join(F.transform(F.split(s, r"\."), octet), ".")
-    head = F.regexp_extract(s, r"^(\+\d{1,3}[ .(-]+|\+\d|)", 1)
-    phone = F.concat(head, scrambled(F.substring(s, F.length(head) + 1, F.length(s)), seed))
+    number = canonical(s, F.lit("phone"))
+    code = F.when(s.startswith("+"), F.regexp_extract(number, _COUNTRY, 0)).otherwise("")
+    phone = overlaid(s, F.concat(code, scrambled(F.regexp_replace(number, _COUNTRY, ""), seed)))
     digits = F.regexp_replace(s, "[^0-9]", "")
     ssn = overlaid(s, F.concat(F.lit("9"), scrambled(F.substring(digits, 2, 8), seed)))
     n = F.length(digits)

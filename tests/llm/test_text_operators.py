@@ -313,6 +313,17 @@ def test_one_surrogate_for_a_person_under_several_titles(spark):
     assert a == b and a.split()[0] in names["n"]
 
 
+def test_one_surrogate_for_a_phone_in_several_forms(spark):
+    forms = ["+1 555 123 4567", "(555) 123-4567", "555-123-4567", "+1 (555) 123-4567", "+15551234567", "555.123.4567", "+44 20 7946 0958", "+442079460958", "+44 (20) 79460958", "+353 1 234 5678", "+35312345678"]
+    df = spark.createDataFrame(list(enumerate(forms)), "doc_id int, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.replaced(df).collect()}
+    shape = lambda s: re.sub(r"\d", "0", s)
+    assert all(shape(got[i]) == shape(f) and got[i] != f for i, f in enumerate(forms))
+    digits = lambda i: re.sub(r"\D", "", got[i])
+    assert len({digits(i)[-10:] for i in range(6)}) == 1 and all(got[i].startswith("+1") for i in (0, 3, 4))
+    assert len({digits(i) for i in (6, 7, 8)}) == 1 and digits(6).startswith("44") and digits(9) == digits(10) and digits(9).startswith("353")
+
+
 def test_surrogates_of_the_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     kinds = pii.entities(docs).groupBy("kind").count().collect()
