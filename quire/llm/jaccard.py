@@ -14,9 +14,14 @@ while what is left falls. What remains is exact: in each list left, the members
 the members of other components, in blocks of `block`, without a row for a pair: each set has a parity bitmap, and bitmaps differ in no
 more bits than the sets in tokens, so almost all pairs fail by a few machine words. Those that do not, and that share enough prefix
 tokens, are verified. Many sets that nearly reach the threshold, all of them with all, cost the square of their number in words there.
+Near copies share many tokens, so many lists have the same members; one of these is enough there, and two hashes of its members name it.
 
-Sets are compared whole and exactly: one 64-bit hash stands for a shingle, two for a set. Where two sets share the first hash of the
-two, they get new names. Hub sets are sent once to each salt of their members, whose number follows their bytes.
+What moves: a posting crosses once a round to its list, where all that is asked of a list is worked out, and once to its component. Lists
+that the sketch does not prove to be short (`list_rows`) get their sums before they cross instead. Texts are sent to be verified, not
+their sets, which are larger, and straight to their hub.
+
+Sets are compared whole and exactly: one 64-bit hash stands for a shingle, two for a set or the members of a list. Where two sets share
+the first hash of the two, they get new names. Hub texts are sent once to each salt of their members, whose number follows their bytes.
 
 Defined cases: null text and text without words: size 0, linked with nothing, not even with each other; fewer words than a
 shingle: the whole sequence is the one shingle; repeated rows: one class; a doc_id on several texts: each row has its own set and
@@ -47,7 +52,8 @@ class JoinConfig:
     """words to a shingle; percent: the similarity that links; sketch_bits: log2 of the most counters that order tokens.
     verify_cost: of sending a set, against a posting; chance: that a pair which shares k prefix tokens by accident shares one more.
     few_pairs: pairs left to a posting, below which the exact step begins at once; some_pairs: the same after a round; fall: the share
-    of them that a round must do away with, else the exact step begins, too. block: sets to a block there. name_bits: bits of a class name (fewer in tests of clashing names)."""
+    of them that a round must do away with, else the exact step begins, too. block: sets to a block there. list_rows: postings of a list that
+    may meet in one task. name_bits: bits of a class name (fewer in tests of clashing names)."""
 
     words: int = 3
     percent: int = 90
@@ -61,6 +67,7 @@ class JoinConfig:
     some_pairs: float = 256.0
     fall: float = 0.1
     block: int = 2048
+    list_rows: int = 4096
     name_bits: int = 64
 
     def need(self, n: int) -> int:
@@ -195,11 +202,12 @@ def _prefix(s: np.ndarray, levels: np.ndarray, noise: float, cfg: JoinConfig) ->
 
 
 def prefixes(docs: DataFrame, counts, bits: int, noise: float, names: Names, cfg: JoinConfig) -> DataFrame:
-    """c, n, l, cost, bitmap, tokens (t, pos) of the prefix of every set, without tokens of one set alone. `counts`: the broadcast sketch."""
+    """c, n, l, cost, bitmap, tokens (t, pos, hot: of more than list_rows sets, as far as the sketch knows) of the prefix of every set,
+    without tokens of one set alone. `counts`: the broadcast sketch."""
 
     def run(batches):
         for b in batches:
-            c, n, l, cost, bitmap, t, pos = [], [], [], [], [], [], []  # noqa: E741
+            c, n, l, cost, bitmap, t, pos, hot = [], [], [], [], [], [], [], []  # noqa: E741
             for _, _, s in _each([b], cfg.words):
                 if not len(s):
                     continue
@@ -207,13 +215,13 @@ def prefixes(docs: DataFrame, counts, bits: int, noise: float, names: Names, cfg
                 at, matches, shared = _prefix(s, levels, noise, cfg)
                 live = np.flatnonzero(levels[at] > 1)
                 if len(live):
-                    for col, v in zip((c, n, l, cost, bitmap, t, pos), (names.of(s), len(s), matches, shared, _bitmap(s, cfg).tobytes(), s[at[live]].view(np.int64), live.astype(np.int32))):
+                    for col, v in zip((c, n, l, cost, bitmap, t, pos, hot), (names.of(s), len(s), matches, shared, _bitmap(s, cfg).tobytes(), s[at[live]].view(np.int64), live.astype(np.int32), LEVELS[levels[at[live]]] > cfg.list_rows)):
                         col.append(v)
             offs = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in t])]), pa.int32())
-            tokens = pa.StructArray.from_arrays([pa.array(np.concatenate(t) if t else [], pa.int64()), pa.array(np.concatenate(pos) if pos else [], pa.int32())], names=["t", "pos"])
+            tokens = pa.StructArray.from_arrays([pa.array(np.concatenate(t) if t else [], pa.int64()), pa.array(np.concatenate(pos) if pos else [], pa.int32()), pa.array(np.concatenate(hot) if hot else [], pa.bool_())], names=["t", "pos", "hot"])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(l, pa.int32()), pa.array(cost, pa.float64()), pa.array(bitmap, pa.binary()), pa.ListArray.from_arrays(offs, tokens)], names=["c", "n", "l", "cost", "bitmap", "tokens"])
 
-    return docs.select("text").mapInArrow(lean(run), "c long, n int, l int, cost double, bitmap binary, tokens array<struct<t:long,pos:int>>")
+    return docs.select("text").mapInArrow(lean(run), "c long, n int, l int, cost double, bitmap binary, tokens array<struct<t:long,pos:int,hot:boolean>>")
 
 
 def _may_link(a: tuple[str, str], b: tuple[str, str], cfg: JoinConfig):
@@ -255,26 +263,30 @@ def _near(xs: list, ys: list, cfg: JoinConfig):
                     yield xs[ix[i + a]], ys[iy[b]]
 
 
+def _in_shortest(cfg: JoinConfig):
+    """The token stands in the set's shortest prefix: sets that link share a token of these."""
+    return F.expr(f"pos <= n - (n * {cfg.percent}L + 99) div 100")
+
+
 def _candidates(live: DataFrame, sets: DataFrame, cfg: JoinConfig) -> DataFrame:
     """hub, c, n: the pairs across components that lists, bitmaps and prefixes allow. sets: `prefixes` of the classes."""
-    need = F.expr(f"(n * {cfg.percent}L + 99) div 100")
-    rows = live.filter(F.col("pos") <= F.col("n") - need)  # sets that link share a token of their shortest prefixes
-    rows = rows.join(sets.select("c", "bitmap"), "c")
+    rows = live.filter(_in_shortest(cfg)).repartition("c").dropDuplicates(["c", "s1", "s2"]).join(sets.select("c", "bitmap"), "c")
     blocks = rows.withColumns({"xs": F.ceil((F.col("all") - F.col("m")) / cfg.block), "ys": F.ceil(F.col("all") / cfg.block)})
-    keep = ["t", "c", "k", "n", "l", "main", "bitmap"]
+    keep = ["s1", "s2", "c", "k", "n", "l", "main", "bitmap"]
+    at = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), F.lit(role).alias("role"))
     of = lambda n: F.pmod(F.xxhash64("c", F.lit("block")), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    few = blocks.filter("k <> main").select(*keep, of("xs").alias("i"), every("ys").alias("j"), F.lit(0).alias("role"))
-    rest = blocks.select(*keep, every("xs").alias("i"), of("ys").alias("j"), F.lit(1).alias("role"))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    few = F.when(F.col("k") != F.col("main"), F.transform(every("ys"), lambda j: at(of("xs"), j, 0))).otherwise(F.array())
+    both = blocks.select(*keep, F.explode(F.concat(few, F.transform(every("xs"), lambda i: at(i, of("ys"), 1)))).alias("at")).select(*keep, "at.*")
 
     def compare(batches):
         def found():
             key, xs, ys = None, [], []
             for b in batches:
                 for r in b.to_pylist():
-                    if (r["t"], r["i"], r["j"]) != key:
+                    if (r["s1"], r["s2"], r["i"], r["j"]) != key:
                         yield from pairs(xs, ys)
-                        key, xs, ys = (r["t"], r["i"], r["j"]), [], []
+                        key, xs, ys = (r["s1"], r["s2"], r["i"], r["j"]), [], []
                     (ys if r["role"] else xs).append(r)
                     if len(ys) >= cfg.block:
                         yield from pairs(xs, ys)
@@ -288,7 +300,7 @@ def _candidates(live: DataFrame, sets: DataFrame, cfg: JoinConfig) -> DataFrame:
 
         yield from batched(found(), [pa.int64(), pa.int64(), pa.int32(), pa.int32()], ["hub", "c", "n", "l"])
 
-    both = few.unionByName(rest).repartition("t", "i", "j").sortWithinPartitions("t", "i", "j", "role")
+    both = both.repartition("s1", "s2", "i", "j").sortWithinPartitions("s1", "s2", "i", "j", "role")
     pairs = cut(both.mapInArrow(lean(compare), "hub long, c long, n int, l int").distinct())
     ids = cut(pairs.select("c").unionByName(pairs.select(F.col("hub").alias("c"))).distinct())
     prefix = sets.join(F.broadcast(ids) if ids.count() <= cfg.broadcast_rows else ids, "c", "left_semi").select("c", F.col("tokens.t").alias("tokens"))
@@ -296,91 +308,88 @@ def _candidates(live: DataFrame, sets: DataFrame, cfg: JoinConfig) -> DataFrame:
     return pairs.filter(F.size(F.array_intersect("tokens", "others")) >= F.col("l")).select("hub", "c", "n")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, holders: DataFrame, names: Names, cfg: JoinConfig) -> DataFrame:
-    """The pairs (hub, c) whose sets reach the similarity. holders: c, doc_id of one document of each class."""
+def _verified(docs: DataFrame, pairs: DataFrame, holders: DataFrame, cfg: JoinConfig) -> DataFrame:
+    """The pairs (hub, c) whose sets reach the similarity. holders: c, doc_id and text hash h of one document of each class."""
     weight = pairs.groupBy("hub").agg(F.sum("n").alias("n"))
     salts = cut(weight.select("hub", F.greatest(F.lit(1), F.ceil(F.col("n") * 8 / cfg.salt_bytes)).cast("int").alias("salts")))
     member = pairs.join(salts, "hub").select("c", "hub", F.pmod(F.xxhash64("c"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
     hubs = salts.select(F.col("hub").alias("c"), "hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    roles = cut(member.unionByName(hubs))
-    wanted = cut(roles.select("c").distinct().join(holders, "c").select("doc_id"))
-    if wanted.count() <= cfg.broadcast_rows:
-        wanted = F.broadcast(wanted)
-    texts = docs.join(wanted.withColumnRenamed("doc_id", "w"), F.col("doc_id").eqNullSafe(F.col("w")), "left_semi").select("text")
-
-    def sets(batches):
-        def rows():
-            seen = set()
-            for _, _, s in _each(batches, cfg.words):
-                if len(s) and (c := names.of(s)) not in seen:  # a copy within this task
-                    seen.add(c)
-                    if len(seen) > 100_000:
-                        seen.clear()
-                    yield c, s.tobytes()
-
-        yield from batched(rows(), [pa.int64(), pa.binary()], ["c", "s"], size=lambda x: len(x[1]))
+    roles = cut(member.unionByName(hubs).join(holders, "c").select("hub", "salt", "role", "c", F.col("doc_id").alias("w"), "h"))
+    if roles.count() <= cfg.broadcast_rows:
+        roles = F.broadcast(roles)
+    # by id and text, as an id may stand on other texts too
+    texts = docs.join(roles, F.col("doc_id").eqNullSafe(F.col("w")) & (F.xxhash64("text") == F.col("h"))).select("hub", "salt", "role", "c", "text")
 
     def compare(batches):
         def rows():
             hub, own = None, None
             for b in batches:
-                for h, salt, role, c, s in zip(*(b.column(k).to_pylist() for k in ("hub", "salt", "role", "c", "s"))):
-                    if role == 0:
-                        hub, own = (h, salt), np.frombuffer(s, np.uint64)
+                hs, salts, roles, cs = (b.column(k).to_pylist() for k in ("hub", "salt", "role", "c"))
+                for _, r, s in _each([b], cfg.words):
+                    if roles[r] == 0:
+                        hub, own = (hs[r], salts[r]), s
                         continue
-                    if hub != (h, salt):
-                        raise ValueError("a hub's set is missing")
-                    other = np.frombuffer(s, np.uint64)
-                    at = np.searchsorted(own, other)
+                    if hub != (hs[r], salts[r]):
+                        raise ValueError("a hub's text is missing")
+                    at = np.searchsorted(own, s)
                     at[at == len(own)] = 0
-                    both = int((own[at] == other).sum())
-                    if 100 * both >= cfg.percent * (len(own) + len(other) - both):
-                        yield h, c
+                    both = int((own[at] == s).sum())
+                    if 100 * both >= cfg.percent * (len(own) + len(s) - both):
+                        yield hs[r], cs[r]
 
         yield from batched(rows(), [pa.int64(), pa.int64()], ["a", "b"])
 
-    sent = texts.mapInArrow(lean(sets), "c long, s binary").join(roles, "c").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
-    return cut(sent.select("hub", "salt", "role", "c", "s").mapInArrow(lean(compare), "a long, b long"))
+    sent = texts.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
+    return cut(sent.mapInArrow(lean(compare), "a long, b long"))
 
 
-def _lists(rows: DataFrame, r: int) -> DataFrame:
-    """Of each list that holds several components (k): its largest one, its size and a hub. Map-side sums come before the shuffles."""
+def _lists(rows: DataFrame, r: int, cfg: JoinConfig) -> DataFrame:
+    """Of each list that holds several components (k): its largest one, its size, a hub and two hashes of its members."""
     score = F.struct("cost", "c") if r == 0 else F.struct(F.xxhash64("c", F.lit(r)), "c")
-    parts = rows.groupBy("t", "k").agg(F.count("*").alias("m"), F.max(F.struct(score.alias("s"), F.struct("c", "n", "l", "pos", "k").alias("h"))).alias("h"))
-    lists = parts.groupBy("t").agg(F.max(F.struct("m", "k")).alias("main"), F.sum("m").alias("all"), F.count("*").alias("ks"), F.max("h").alias("h")).filter("ks > 1")
-    return lists.select("t", F.col("main.k").alias("main"), F.col("main.m").alias("m"), "all", *[F.col(f"h.h.{x}").alias(f"hub_{x}" if x != "c" else "hub") for x in ("c", "n", "l", "pos", "k")])
+    members = {f"s{i}": F.xxhash64("c", _in_shortest(cfg), F.lit(i)) for i in (1, 2)}
+    parts = rows.groupBy("t", "k").agg(F.count("*").alias("m"), F.max(F.struct(score.alias("s"), F.struct("c", "n", "l", "pos", "k").alias("h"))).alias("h"), *[F.bit_xor(x).alias(s) for s, x in members.items()])
+    lists = parts.groupBy("t").agg(F.max(F.struct("m", "k")).alias("main"), F.sum("m").alias("all"), F.count("*").alias("ks"), F.max("h").alias("h"), *[F.bit_xor(s).alias(s) for s in members]).filter("ks > 1")
+    return lists.select("t", F.col("main.k").alias("main"), F.col("main.m").alias("m"), "all", *members, *[F.col(f"h.h.{x}").alias(f"hub_{x}" if x != "c" else "hub") for x in ("c", "n", "l", "pos", "k")])
+
+
+def _with_lists(rows: DataFrame, r: int, cfg: JoinConfig) -> DataFrame:
+    """The postings of lists that hold several components, with their list. Those of a short list meet in a task; for others, map-side
+    sums come before the shuffle, and the join can be split."""
+    short = rows.filter("not hot").drop("hot").repartition("t")  # read twice, by the same columns, so written once
+    hot = rows.filter("hot").drop("hot")
+    short, hot = (x.join(_lists(x, r, cfg), "t").withColumn("hot", F.lit(h)) for x, h in ((short, False), (hot, True)))
+    return short.unionByName(hot)
 
 
 def links(docs: DataFrame, holders: DataFrame, total: int, names: Names, cfg: JoinConfig) -> DataFrame:
     """node, root over classes: components of the links between different sets. total: the number of tokens of all sets."""
     sets = _prefixes(docs, total, names, cfg)
-    rows = sets.select("c", "n", "l", "cost", F.explode("tokens").alias("x")).select("x.t", "c", "n", "l", "cost", "x.pos", F.col("c").alias("k"))
+    rows = sets.select("c", "n", "l", "cost", F.explode("tokens").alias("x")).select("x.t", "c", "n", "l", "cost", "x.pos", "x.hot", F.col("c").alias("k"))
     live = comp = found = None
     r, before = 0, float("inf")
     while True:
-        lists = cut(_lists(rows, r))
-        size = lists.agg(F.sum((F.col("all") - F.col("m")).cast("double") * F.col("all")).alias("pairs"), F.sum("all").alias("n")).first()
-        left, n = size["pairs"] or 0.0, size["n"] or 0
-        _LOG.info("round %d: %d postings in lists of several components, %.0f pairs across at most", r, n, left)
-        old, live = live, stored(rows.join(lists, "t"), "postings")
+        old, live = live, stored(_with_lists(rows, r, cfg), "postings")
         if old is not None:
             discard(old)
+        size = live.agg(F.sum((F.col("all") - F.col("m")).cast("double")).alias("pairs"), F.count("*").alias("n")).first()
+        left, n = size["pairs"] or 0.0, size["n"]
+        _LOG.info("round %d: %d postings in lists of several components, %.0f pairs across at most", r, n, left)
         if left <= (cfg.some_pairs if r else cfg.few_pairs) * n or left > (1 - cfg.fall) * before:
             break
         before = left
         near = live.filter((F.col("hub_k") != F.col("k")) & _may_link(("n", "pos"), ("hub_n", "hub_pos"), cfg)).groupBy("c", "n", "hub").agg(F.count("*").alias("m"), F.min(F.least("l", "hub_l")).alias("l"))
         pairs = cut(near.filter("m >= l").groupBy("c", "n").agg(F.max_by("hub", F.struct("m", "hub")).alias("hub")))
         if not pairs.isEmpty():
-            new = _verified(docs, pairs, holders, names, cfg)
+            new = _verified(docs, pairs, holders, cfg)
             comp = components(new if found is None else found.unionByName(new))
             found = comp.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        rows = live.select("t", "c", "n", "l", "cost", "pos")
+        rows = live.select("t", "c", "n", "l", "pos", "hot")
         rows = rows.withColumn("k", F.col("c")) if comp is None else rows.join(comp, rows["c"] == comp["node"], "left").select(rows["*"], F.coalesce("root", "c").alias("k"))
         r += 1
     if left:
         pairs = cut(_candidates(live, sets, cfg))
         if not pairs.isEmpty():
-            new = _verified(docs, pairs, holders, names, cfg)
+            new = _verified(docs, pairs, holders, cfg)
             comp = components(new if found is None else found.unionByName(new))
     if comp is None:
         comp = cut(sets.select(F.col("c").alias("node"), F.col("c").alias("root")).limit(0))
@@ -393,10 +402,10 @@ def join_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", c
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), text_hash."""
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     keys = stored(set_keys(docs, cfg), "keys")
-    classes = cut(keys.filter("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("m"), F.max("n").alias("n")))
+    classes = cut(keys.filter("n > 0").groupBy("c1", "c2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("least"), F.count("*").alias("m"), F.max("n").alias("n")).select("c1", "c2", "least.doc_id", "least.h", "m", "n"))
     names = _names(classes, cfg)
     total = classes.agg(F.sum("n")).first()[0] or 0
-    classes = _named(classes, names).select("c", "c1", "c2", "doc_id", "m")
+    classes = _named(classes, names).select("c", "c1", "c2", "doc_id", "h", "m")
     # copies of a class: all but its smallest doc_id need no work
     first = classes.filter("m > 1").select("c1", "c2", F.col("doc_id").alias("first"))
     copies = cut(keys.filter("n > 0").join(first, ["c1", "c2"]).filter(F.col("doc_id") != F.col("first")).select(F.col("doc_id").alias("copy_id"), F.col("h").alias("copy_h")).distinct())
@@ -404,7 +413,7 @@ def join_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", c
     if 0 < copies.count() <= cfg.broadcast_rows:
         # by id and text, as an id may stand on other texts too
         alone = docs.join(F.broadcast(copies), (F.col("doc_id") == F.col("copy_id")) & (F.xxhash64("text") == F.col("copy_h")), "left_anti")
-    comp = links(alone, classes.select("c", "doc_id"), total, names, cfg)
+    comp = links(alone, classes.select("c", "doc_id", "h"), total, names, cfg)
     least = classes.join(comp, classes["c"] == comp["node"], "left").select("c1", "c2", F.coalesce("root", "c").alias("root"), "doc_id", "m")
     roots = cut(least.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("m").alias("members")).filter("members > 1"))
     named = cut(least.join(roots, "root").select("c1", "c2", "component_id"))

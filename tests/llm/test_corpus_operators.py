@@ -80,6 +80,45 @@ def test_jaccard_keeps_other_texts_of_a_copied_id(spark):
     assert got == {9: 5}
 
 
+def _shuffled(spark, run):
+    """run()'s result, and the bytes that its stages wrote to shuffles."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark._jvm
+
+    def total():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (stages.apply(i) for i in range(stages.size()))}
+
+    before = total()
+    out = run()
+    return out, sum(n for k, n in total().items() if k not in before)
+
+
+def test_jaccard_moves_little(spark):
+    """Groups of near copies, all of whose lists have the same members: postings, bitmaps and verified texts must not cross again and again."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        for k in range(6):
+            rows.append((len(rows), " ".join(words[:-3] + [f"x{g}y{k}z{i}" for i in range(3)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cfg = jaccard.JoinConfig(words=5, percent=80, few_pairs=1e9)
+    got, moved = _shuffled(spark, lambda: {r["doc_id"]: r["component_id"] for r in jaccard.join_components(df, cfg=cfg).collect()})
+    assert got == {i: i // 6 * 6 for i in range(len(rows))}
+    assert moved < 3 * 8 * 396 * len(rows)  # three times the bytes of the sets
+
+
+@pytest.mark.parametrize("most", [1, 3, 10**6])
+def test_jaccard_lists_long_and_short(spark, most):
+    rows = _near_copies() + [(None, "an id that is null " * 3), (None, "an id that is null " * 3 + "too"), (500, "an id that is null " * 3 + "TOO")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    cfg = jaccard.JoinConfig(words=3, percent=80, few_pairs=0.0, some_pairs=0.0, list_rows=most)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join_components(df, cfg=cfg).collect() if r["doc_id"] is not None}
+    want = {i: c for i, _, c in brute_components([r for r in rows if r[0] is not None], 3, 80)}
+    assert got == want
+
+
 @pytest.mark.parametrize("local", [0, 10**6])
 def test_components(spark, local):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 200), (200, 300), (7, 7), (500, 501), (501, 500)]
